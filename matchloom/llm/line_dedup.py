@@ -248,9 +248,10 @@ def line_report(docs: DataFrame, direct: int = DIRECT) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, direct: int = DIRECT) -> DataFrame:
     """``docs`` with its columns, without the lines that went; a document that has lost all of them keeps its row with an empty text."""
-    removed = removed_lines(docs, direct).select(F.col("doc_id").alias("_d"), F.col("rh").alias("_r"), F.col("removed").alias("_gone"))
-    lines = F.split("text", "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    joined = docs.withColumn("_rh", row_hash()).join(removed.hint("shuffle_hash"), F.expr("doc_id <=> _d AND _rh = _r"), "left")
-    return joined.withColumn("text", text).select(*docs.columns)
+    removed = removed_lines(docs, direct).toDF("d", "r", "gone", "components").drop("components")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("k"), row_hash().alias("h"))
+    lines = F.split("row.text", "\n")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    joined = rows.join(removed.hint("shuffle_hash"), F.expr("k <=> d AND h = r"), "left")
+    return joined.select(F.col("row").withField("text", text).alias("row")).select("row.*")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import lookup, materialize, ship
+from .cluster import lookup, materialize, row_hash, ship
 from .components import connected_components
 
 #: Distinct fingerprints that one task compares directly; larger buckets are split by the pigeonhole principle.
@@ -38,15 +38,15 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` per row."""
+    """``(doc_id, rh, fp)`` per row; rh is :func:`.cluster.row_hash`."""
     ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t, shingle) for t in texts], pa.int64())], ["doc_id", "fp"])
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([fingerprint(t, shingle) for t in texts], pa.int64())], ["doc_id", "rh", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), row_hash().alias("rh"), "text").mapInArrow(run, "doc_id long, rh long, fp long")
 
 
 def signed(x: int) -> int:
@@ -113,6 +113,19 @@ def links(distinct: DataFrame, radius: int = 3, direct: int = DIRECT) -> DataFra
         )
 
 
+def _components(docs: DataFrame, radius: int, shingle: int, direct: int) -> DataFrame:
+    """``(doc_id, rh, fp, component_id)`` per row."""
+    prints = materialize(fingerprints(docs, shingle), "fingerprints")
+    total = prints.count()
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
+    roots = connected_components(links(nodes.select("fp"), radius, direct))
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    tops = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("nodes"))
+    named = lookup(rooted, tops, "root", "nodes", total)
+    return lookup(prints, named.select("fp", "n", "component_id"), "fp", "n", total)
+
+
 def simhash_components(docs: DataFrame, radius: int = 3, shingle: int = 3, direct: int = DIRECT) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` per row of ``docs``.
 
@@ -121,25 +134,22 @@ def simhash_components(docs: DataFrame, radius: int = 3, shingle: int = 3, direc
     null only where a component has no other. Repeated rows each give a row. Equal fingerprints are one node,
     so copies cost nothing beyond a count.
     """
-    prints = materialize(fingerprints(docs, shingle), "fingerprints")
-    total = prints.count()
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
-    roots = connected_components(links(nodes.select("fp"), radius, direct))
-    rooted = materialize(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "rooted")
-    tops = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("nodes"))
-    named = lookup(rooted, tops, "root", "nodes", total)
-    return lookup(prints, named.select("fp", "n", "component_id"), "fp", "n", total).select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    found = _components(docs, radius, shingle, direct)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_each(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's smallest; a component of null doc_ids only stays whole.
+def keep_one_each(docs: DataFrame, radius: int = 3, shingle: int = 5, direct: int = DIRECT) -> DataFrame:
+    """The rows of ``docs``, with their columns, whose doc_id is their component's smallest.
 
-    Rows equal in doc_id and text are one document given twice: one of them stays.
+    Rows equal in doc_id and text are one document given twice, and one of them stays; so does each different
+    text with the same smallest doc_id. A component of null doc_ids only keeps its different texts.
     """
-    kept = simhash_components(docs, radius, shingle).where("component_id <=> doc_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept.where("doc_id IS NOT NULL"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    if kept.where("doc_id IS NULL").isEmpty():
-        return named
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    found = materialize(_components(docs, radius, shingle, direct).select("doc_id", "rh", "component_id"), "components")
+    keys = found.groupBy("doc_id", "rh").agg(F.count("*").alias("times"), F.first("component_id").alias("component_id")).where("component_id <=> doc_id")
+    keys = keys.select(F.col("doc_id").alias("d"), F.col("rh").alias("r"), "times").hint("shuffle_hash")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("k"), row_hash().alias("h"))
+    kept = rows.join(keys, F.expr("k <=> d AND h = r"))
+    once = kept.where("times = 1").select("row.*")
+    if found.groupBy("doc_id", "rh").count().where("count > 1").isEmpty():
+        return once
+    return once.unionByName(kept.where("times > 1").dropDuplicates(["k", "h"]).select("row.*"))

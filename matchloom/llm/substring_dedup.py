@@ -80,8 +80,11 @@ def removed_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _cut_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    gone = removed_units(docs, min_words).toDF("_d", "_r", "_gone")
-    return docs.withColumn("_rh", row_hash()).join(gone.hint("shuffle_hash"), F.expr("doc_id <=> _d AND _rh = _r"), "left").drop("_rh", "_d", "_r")
+    """The columns of ``docs`` and, last, the numbers of the units that go."""
+    unused = "gone" + "_" * (1 + max(map(len, docs.columns)))
+    gone = removed_units(docs, min_words).toDF("d", "r", "gone")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("k"), row_hash().alias("h"))
+    return rows.join(gone.hint("shuffle_hash"), F.expr("k <=> d AND h = r"), "left").select("row.*", F.col("gone").alias(unused))
 
 
 def substring_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -103,19 +106,19 @@ def substring_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), span]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_units", "n_removed", "n_removed_chars", "kept_sha256", "spans"])
 
-    return joined.select("doc_id", "text", "_gone").mapInArrow(run, "doc_id long, n_units long, n_removed long, n_removed_chars long, kept_sha256 string, spans array<struct<start: long, end: long>>")
+    return joined.mapInArrow(run, "doc_id long, n_units long, n_removed long, n_removed_chars long, kept_sha256 string, spans array<struct<start: long, end: long>>")
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with its columns and the removed units cut from ``text``; null texts stay null."""
     joined = _cut_rows(docs, min_words)
     names = docs.columns
-    at, gone_at = joined.columns.index("text"), joined.columns.index("_gone")
+    at = names.index("text")
 
     def run(batches):
         for batch in batches:
-            texts = [t if not gone else cut(split_units(t), set(gone))[0] for t, gone in zip(batch.column(at).to_pylist(), batch.column(gone_at).to_pylist())]
-            cols = [pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(batch.num_columns) if i != gone_at]
+            texts = [t if not gone else cut(split_units(t), set(gone))[0] for t, gone in zip(batch.column(at).to_pylist(), batch.columns[-1].to_pylist())]
+            cols = [pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return joined.mapInArrow(run, docs.schema)
