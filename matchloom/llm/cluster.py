@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Up to this many rows on the many side, a join needs no treatment of hot keys: one task could hold them all.
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 10_000
 #: A key is hot if it holds more than 1 / HOT_SHARE of the rows, so fewer than HOT_SHARE keys can be hot.
 HOT_SHARE = 1000
 

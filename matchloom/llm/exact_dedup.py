@@ -52,7 +52,8 @@ class DigestIndex:
     def new_groups(self, fingerprints: DataFrame) -> DataFrame:
         """The batch's groups of equal digests that the index doesn't have; the largest doc_id of a group is kept."""
         groups = fingerprints.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        return groups.hint("merge").join(self.rows().select("digest"), "digest", "left_anti")
+        # Written first: the optimizer would else push the anti-join below the aggregation, onto every row.
+        return materialize(groups, "groups").hint("merge").join(self.rows().select("digest"), "digest", "left_anti")
 
     def append(self, groups: DataFrame) -> None:
         """One task per bucket writes one sorted file, as rows are dealt by the bucket's own hash."""
