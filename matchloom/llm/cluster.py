@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Up to this many rows on the many side, a join needs no treatment of hot keys: one task could hold them all.
+#: Up to this many rows on the many side, a join treats no key as hot: one task could hold them all.
 SMALL_ROWS = 10_000
 #: A key is hot if it holds more than 1 / HOT_SHARE of the rows, so fewer than HOT_SHARE keys can be hot.
 HOT_SHARE = 1000
@@ -49,13 +49,13 @@ def materialize(df: DataFrame, tag: str = "rows") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lookup(many: DataFrame, unique: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def lookup(many: DataFrame, unique: DataFrame, key: str, count: str, total: int, small: int = SMALL_ROWS) -> DataFrame:
     """Inner join of ``many`` with ``unique`` (one row per ``key``; ``count`` says how many rows of ``many`` it has).
 
     Keys that hold more than a thousandth of ``total`` rows are joined by broadcast: there are
     fewer than a thousand of them whatever the input, so the broadcast is bounded. The rest is shuffled.
     """
-    if total <= SMALL_ROWS:
+    if total <= small:
         return many.join(unique, key)
     hot = unique.where(F.col(count) * HOT_SHARE > total)
     cold = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(unique, key)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .cluster import lookup, materialize
 
+#: Edges are two longs: this many fit one task with room to spare, so hubs are treated as hot only beyond.
+SMALL_EDGES = 1_000_000
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, root)`` for every node that has an edge; ``root`` is the component's smallest node.
@@ -27,9 +30,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         large = materialize(
-            lookup(both, least, "u", "n", 2 * n).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi != lo").distinct(), "large"
+            lookup(both, least, "u", "n", 2 * n, SMALL_EDGES).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi != lo").distinct(), "large"
         )
         least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
-        star = lookup(large, least, "hi", "n", 2 * n)
+        star = lookup(large, least, "hi", "n", 2 * n, SMALL_EDGES)
         small = star.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(star.select("hi", F.col("m").alias("lo")))
         e = materialize(small.distinct(), "small")

@@ -143,6 +143,33 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return every.join(wanted.hint("shuffle_hash"), "lid", "left_semi").dropDuplicates(["lid"])
 
 
+def similar_pairs(pairs: list[tuple[str, str]], threshold: float = THRESHOLD) -> list[bool]:
+    """Which pairs of lines are linked at the threshold, by exact Jaccard similarity."""
+    if not pairs:
+        return []
+    h, first, n = shingle_hashes([x for p in pairs for x in p])
+    ends, out = (first + n).tolist(), []
+    first = first.tolist()
+    for i in range(0, len(ends), 2):
+        a, b = set(h[first[i] : ends[i]].tolist()), set(h[first[i + 1] : ends[i + 1]].tolist())
+        common = len(a & b)
+        out.append(common >= threshold * (len(a) + len(b) - common))
+    return out
+
+
+def _linked_pairs(pairs: DataFrame) -> DataFrame:
+    """The ``(a, b)`` of ``pairs`` (a, b, a_line, b_line) that are linked."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                good = similar_pairs(list(zip(part.column(2).to_pylist(), part.column(3).to_pylist())))
+                yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.select("a", "b", "a_line", "b_line").mapInArrow(run, "a long, b long")
+
+
 def _stars(groups: DataFrame) -> DataFrame:
     """Edges within each array of (lid, line)."""
 
@@ -183,9 +210,8 @@ def line_links(rows: DataFrame, lines: DataFrame, nodes: DataFrame, direct: int
     rank = F.struct(F.col("n"), -F.col("lid"))
     centers = members.groupBy("k").agg(F.max(rank).alias("c"))
     pairs = members.join(centers, "k").groupBy("lid").agg((-F.max("c")["col2"]).alias("center")).where("lid != center")
-    both = pairs.join(texts, "lid").join(texts.toDF("center", "center_line"), "center")
-    pair = F.array(*(F.struct(F.col(a).alias("lid"), F.col(b).alias("line")) for a, b in (("center", "center_line"), ("lid", "line"))))
-    first = materialize(_stars(both.select(pair.alias("members"))), "first")
+    both = pairs.join(texts.toDF("lid", "b_line"), "lid").join(texts.toDF("center", "a_line"), "center")
+    first = materialize(_linked_pairs(both.withColumnsRenamed({"center": "a", "lid": "b"})), "first")
     roots = connected_components(first)
     # What buckets still hold of different components.
     labelled = members.select("k", "lid").join(roots.toDF("lid", "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
@@ -198,7 +224,9 @@ def line_links(rows: DataFrame, lines: DataFrame, nodes: DataFrame, direct: int
         top = shares.groupBy("k").agg(F.max(F.struct("share", "root")).alias("top"))
         sided = large.join(top, "k").select("k", "lid", "size", (F.col("size") - F.col("top.share")).alias("rest"), (F.col("root") == F.col("top.root")).alias("big"))
         dealt = dealt.unionByName(_in_blocks(sided, direct).select("k", "lid"))
-    groups = dealt.join(texts, "lid").groupBy("k").agg(F.collect_list(F.struct("lid", "line")).alias("members"))
+    # A group of near copies shares most of its bands: the same members are compared once.
+    alike = dealt.groupBy("k").agg(F.xxhash64(F.sort_array(F.collect_list("lid"))).alias("members")).groupBy("members").agg(F.min("k").alias("k"))
+    groups = dealt.join(alike, "k", "left_semi").join(texts, "lid").groupBy("k").agg(F.collect_list(F.struct("lid", "line")).alias("members"))
     return first.unionByName(_stars(groups))
 
 
