@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 # Keyword lists of the text vector, by class in the vector's order.
 KEYWORDS = {
-    "colors": "red blue green black white yellow brown gray grey orange purple pink silver gold beige navy maroon tan violet indigo cyan magenta",
-    "materials": "leather plastic metal fabric cotton wool silk denim canvas nylon polyester rubber wood glass ceramic steel aluminum suede velvet paper",
-    "conditions": "new old used worn damaged broken scratched clean dirty torn faded excellent good fair poor",
-    "sizes": "small medium large tiny big huge mini compact xl xs s m l",
-    "brands": "nike adidas apple samsung sony dell hp lenovo asus gucci prada puma reebok casio fossil logitech canon nikon bose jbl",
+    "colors": "red blue green yellow black white gray grey brown pink purple orange cyan magenta beige navy maroon gold silver bronze cream tan",
+    "materials": "leather plastic metal wood fabric cotton polyester nylon rubber silicon glass paper cardboard denim canvas wool synthetic aluminum steel brass",
+    "conditions": "new old used worn damaged scratched broken torn pristine excellent good fair poor vintage antique",
+    "sizes": "small medium large tiny huge big little mini compact oversized xl xs xxl",
+    "brands": "apple samsung nike adidas hp dell lenovo asus sony lg microsoft logitech razer casio texas moleskine leuchtturm pilot uni sharpie",
 }
+STOP_WORDS = (
+    "the a an and or but in on at to for of with is was are were been be have has had do does did will would could should may might must can it its this that these those"
+)
 ONE_HOT = {"colors": "red blue black white green", "materials": "leather plastic metal"}
 
 

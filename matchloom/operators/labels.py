@@ -7,36 +7,44 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clean_words, overlap, quality, truncate
 from .match import candidates, rank
 
-# Phrases of the label heuristic, by kind.
+# Phrases of the label heuristic's two versions, by kind, separated by commas.
 PHRASES = {
-    "colors": "black white red blue green yellow brown gray grey silver gold pink purple orange beige tan navy",
-    "brands": "apple samsung sony dell hp lenovo logitech nike adidas puma casio fossil jbl bose boat oneplus",
-    "materials": "leather plastic metal steel fabric cotton nylon rubber wood glass canvas",
-    "features": "wireless bluetooth wired noise zipper strap pocket button screen case charger head cable",
-    "sizes": "small medium large mini compact big tiny",
+    "colors": "red,blue,black,white,green,yellow,orange,purple,pink,brown,grey,gray,navy,dark,light,tan,beige,maroon,olive,camouflage,camo,multicolor",
+    "brands": "nike,adidas,jansport,under armour,targus,head,musto,jack wolfskin,hello kitty,disney,scooby,strawberry shortcake,hedgren,majestic,texas instruments,casio,apple,samsung,sony,hp,dell",
+    "materials": "leather,fabric,canvas,nylon,denim,plastic,metal,wood,glass,rubber,cotton,polyester",
+    "features": "backpack,bag,satchel,messenger,hiking,laptop,zippered,compartment,pocket,strap,buckle,flap,wallet,book,calculator,mouse,earphones,headphones,glasses,sunglasses,keys,keychain,water bottle,bottle,id card,card",
+    "sizes": "small,large,medium,big,compact,mini",
+}
+PHRASES_2 = {
+    "colors": "red,blue,black,white,green,yellow,orange,purple,pink,brown,grey,gray,navy,dark,light,tan,beige,maroon,olive",
+    "brands": "nike,adidas,jansport,under armour,targus,head,musto,jack wolfskin,hello kitty,disney",
+    "materials": "leather,fabric,canvas,nylon,denim",
+    "features": "backpack,bag,satchel,messenger,hiking,laptop,zippered,compartment,pocket,strap",
 }
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; it depends on the order of its operands."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-def phrases(text: Column, kind: str) -> Column:
+def phrases(text: Column, kind: str, lists: dict[str, str] = PHRASES) -> Column:
     """Phrases of a kind that occur anywhere in the text, also inside words."""
-    return F.filter(F.array(*map(F.lit, PHRASES[kind].split())), lambda k: F.instr(text, k) > 0)
+    return F.filter(F.array(*map(F.lit, lists[kind].split(","))), lambda k: F.instr(text, k) > 0)
 
 
 def score(version: int = 1) -> Column:
     """Score of lost_description and found_description under equal categories; 0 if either is missing."""
     a, b = clean_words(F.col("lost_description")), clean_words(F.col("found_description"))
     text = sequence_ratio(a, b)
-    part = {k: (phrases(a, k), phrases(b, k)) for k in PHRASES}
+    lists = PHRASES if version == 1 else PHRASES_2
+    part = {k: (phrases(a, k, lists), phrases(b, k, lists)) for k in lists}
     share = lambda k: overlap(*part[k])
     any_ = lambda k, v: F.when(F.size(F.array_intersect(*part[k])) > 0, v).otherwise(0.0)
     if version == 1:

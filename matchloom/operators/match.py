@@ -57,10 +57,14 @@ def top_k(scored: DataFrame, k: int | None = None, default: int = 5, minimum: fl
 
 
 def image_matches(items: DataFrame, k: int | None = 5, minimum: float | None = None, temporal: bool = False, category: bool = True) -> DataFrame:
-    """(lost_id, found_id, similarity, rank) by cosine of the image vectors."""
+    """(lost_id, found_id, similarity, rank) by cosine of the image vectors; every rank if ``k`` is None."""
     pairs = candidates(with_units(items.select("id", "category", "status", "ts", "image")), category, temporal)
     score = F.coalesce(V.dot(F.col("lost_image"), F.col("found_image")), F.lit(0.0))
-    return top_k(pairs.select("lost_id", "found_id", score.alias("similarity")), k, k or 5, minimum)
+    scored = pairs.select("lost_id", "found_id", score.alias("similarity"))
+    if k is None:
+        every = rank(scored, None)
+        return every if minimum is None else every.where(F.col("similarity") >= minimum)
+    return top_k(scored, k, minimum=minimum)
 
 
 def lookup_metadata(matches: DataFrame, items: DataFrame, keep_unknown: bool = True) -> DataFrame:
