@@ -201,9 +201,9 @@ def _in_blocks(members: DataFrame, direct: int) -> DataFrame:
 
 def line_links(rows: DataFrame, lines: DataFrame, nodes: DataFrame, direct: int = DIRECT) -> DataFrame:
     """Edges ``(a, b)`` between lids that give the components of all verified candidates."""
-    keyed = nodes.select("lid", F.explode(F.array(*(F.xxhash64(F.lit(i), f"b{i}") for i in range(BANDS)))).alias("k"))
+    keyed = nodes.select("lid", "n", F.explode(F.array(*(F.xxhash64(F.lit(i), f"b{i}") for i in range(BANDS)))).alias("k"))
     in_bucket = keyed.withColumn("size", F.count("*").over(Window.partitionBy("k"))).where("size > 1")
-    members = materialize(in_bucket.join(nodes.select("lid", "n"), "lid"), "members")
+    members = materialize(in_bucket, "members")
     wanted = members.select("lid").distinct()
     texts = materialize(_texts(rows, wanted), "texts")
     # Each line against one center, the line with the most copies that it shares a bucket with.
@@ -227,7 +227,7 @@ def line_links(rows: DataFrame, lines: DataFrame, nodes: DataFrame, direct: int
     # A group of near copies shares most of its bands: the same members are compared once.
     alike = dealt.groupBy("k").agg(F.xxhash64(F.sort_array(F.collect_list("lid"))).alias("members")).groupBy("members").agg(F.min("k").alias("k"))
     groups = dealt.join(alike, "k", "left_semi").join(texts, "lid").groupBy("k").agg(F.collect_list(F.struct("lid", "line")).alias("members"))
-    return first.unionByName(_stars(groups))
+    return roots.toDF("a", "b").unionByName(_stars(groups))
 
 
 def _with_rh(docs: DataFrame) -> DataFrame:
