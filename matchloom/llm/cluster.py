@@ -42,10 +42,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/matchloom-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Free the disk of finished jobs' shuffles.
+
+    Spark deletes them once the driver's JVM finds them unreachable, without this whenever it happens to collect garbage.
+    What follows a written table never reads them, not even after losing executors.
+    """
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def materialize(df: DataFrame, tag: str = "rows") -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}"
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
