@@ -190,12 +190,13 @@ def _in_blocks(members: DataFrame, direct: int) -> DataFrame:
     block = lambda n: F.pmod(F.xxhash64("lid"), F.ceil(n / (direct // 2)))
     rest_blocks = F.ceil(F.col("rest") / (direct // 2))
     own = members.withColumn("own", F.when(F.col("big"), -1 - block(F.col("size") - F.col("rest"))).otherwise(block(F.col("rest"))))
-    every = F.sequence(F.lit(0), rest_blocks.cast("int") - 1)
+    every = F.sequence(F.lit(0).cast("long"), rest_blocks - 1)
     met = own.withColumn("o", F.explode(every)).select(
         "lid", F.xxhash64("k", F.when(F.col("big"), F.col("o")).otherwise(F.least("own", "o")), F.when(F.col("big"), F.col("own")).otherwise(F.greatest("own", "o"))).alias("k")
     )
     big_blocks = F.ceil((F.col("size") - F.col("rest")) / (direct // 2)).cast("int")
-    asked = own.where("NOT big AND size > rest").withColumn("b", F.explode(F.sequence(F.lit(1), big_blocks))).select("lid", F.xxhash64("k", "own", -F.col("b")).alias("k"))
+    # Spark hashes INT and BIGINT differently: all parts of the keys are BIGINT.
+    asked = own.where("NOT big AND size > rest").withColumn("b", F.explode(F.sequence(F.lit(1), big_blocks))).select("lid", F.xxhash64("k", "own", -F.col("b").cast("long")).alias("k"))
     return met.unionByName(asked)
 
 

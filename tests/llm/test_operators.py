@@ -313,6 +313,17 @@ def test_line_buckets_in_blocks(spark):
     assert whole == split
 
 
+def test_blocks_meet(spark):
+    """Each line outside the largest component shares a key with every other line of the bucket."""
+    for n, rest in ((15, 5), (30, 1), (40, 20)):
+        rows = [(7, i, n, rest, i >= rest) for i in range(n)]
+        dealt = line_dedup._in_blocks(spark.createDataFrame(rows, "k long, lid long, size long, rest long, big boolean"), 4)
+        keys = collections.defaultdict(set)
+        for r in dealt.collect():
+            keys[r["lid"]].add(r["k"])
+        assert all(keys[a] & keys[b] for a in range(rest) for b in range(n))
+
+
 def test_substring_dedup(docs):
     rows = texts_of(docs)
     units = [(i is None, i or 0, k, u, i, t) for i, t in rows for k, u in enumerate(substring_dedup.split_units(t or ""))]
