@@ -24,8 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays. Shingles are of five words; three bits of 64 stand for a similarity of 0.8 and more."""
-    return keep_one_each(docs, radius=3, shingle=5)
+    """One document of each group stays. Linked are texts within three bits, and those with a Jaccard similarity of 0.8 and more on five-word shingles."""
+    return keep_one_each(docs, radius=3, shingle=5, similar=True)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ largest component meets another of it. Every link rests on the exact Jaccard sim
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,6 +34,9 @@ _MULTIPLY = _RNG.integers(0, 1 << 31, 256, np.uint32) * np.uint32(2) + np.uint32
 _ADD = _RNG.integers(0, 1 << 32, 256, np.uint32)
 _BASE = 0xD6E8FEB86659FD93
 
+#: Of a list: all 64-bit shingle hashes, each item's first index and number.
+Hashes = Callable[[list], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
 
 def normalize(line: bytes) -> bytes:
     """ASCII letters lower-cased, white space collapsed and stripped; b"" for a blank line."""
@@ -54,12 +59,15 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """Keys of shape (lines, bands): equal in a band if its ``rows`` minima are equal."""
-    h, first, n = shingle_hashes(lines)
+    return hashed_keys(*shingle_hashes(lines), bands, rows)
+
+
+def hashed_keys(h: np.ndarray, first: np.ndarray, n: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     x = (h >> np.uint64(32)).astype(np.uint32)
     cuts = np.stack([first, np.minimum(first + n, len(x) - 1)], axis=1).ravel()
     # reduceat also reduces what lies between lines; the last line may end with the array.
     cuts = cuts[:-1] if first[-1] + n[-1] >= len(x) else cuts
-    out = np.zeros((len(lines), bands), np.uint64)
+    out = np.zeros((len(first), bands), np.uint64)
     for i in range(bands * rows):
         low = np.minimum.reduceat(x * _MULTIPLY[i] + _ADD[i], cuts)[::2]
         k = out[:, i // rows]
@@ -69,9 +77,9 @@ def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> np.ndar
     return out
 
 
-def similar_stars(keys: list[int], lines: list[str], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+def similar_stars(keys: list[int], lines: list, threshold: float = THRESHOLD, hashes: Hashes = shingle_hashes) -> list[tuple[int, int]]:
     """A star (first, other) for each component of lines linked at the threshold, by exact Jaccard similarity."""
-    h, first, n = shingle_hashes(lines)
+    h, first, n = hashes(lines)
     sets = [np.unique(h[a : a + k]) for a, k in zip(first, n)]
     sizes = np.array([len(s) for s in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
@@ -143,11 +151,11 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return every.join(wanted.hint("shuffle_hash"), "lid", "left_semi").dropDuplicates(["lid"])
 
 
-def similar_pairs(pairs: list[tuple[str, str]], threshold: float = THRESHOLD) -> list[bool]:
+def similar_pairs(pairs: list[tuple], threshold: float = THRESHOLD, hashes: Hashes = shingle_hashes) -> list[bool]:
     """Which pairs of lines are linked at the threshold, by exact Jaccard similarity."""
     if not pairs:
         return []
-    h, first, n = shingle_hashes([x for p in pairs for x in p])
+    h, first, n = hashes([x for p in pairs for x in p])
     ends, out = (first + n).tolist(), []
     first = first.tolist()
     for i in range(0, len(ends), 2):
@@ -157,25 +165,25 @@ def similar_pairs(pairs: list[tuple[str, str]], threshold: float = THRESHOLD) ->
     return out
 
 
-def _linked_pairs(pairs: DataFrame) -> DataFrame:
+def _linked_pairs(pairs: DataFrame, hashes: Hashes, piece: int) -> DataFrame:
     """The ``(a, b)`` of ``pairs`` (a, b, a_line, b_line) that are linked."""
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                good = similar_pairs(list(zip(part.column(2).to_pylist(), part.column(3).to_pylist())))
+            for i in range(0, batch.num_rows, piece):
+                part = batch.slice(i, piece)
+                good = similar_pairs(list(zip(part.column(2).to_pylist(), part.column(3).to_pylist())), hashes=hashes)
                 yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return pairs.select("a", "b", "a_line", "b_line").mapInArrow(run, "a long, b long")
 
 
-def _stars(groups: DataFrame) -> DataFrame:
+def _stars(groups: DataFrame, hashes: Hashes) -> DataFrame:
     """Edges within each array of (lid, line)."""
 
     def run(batches):
         for batch in batches:
-            pairs = [p for g in batch.column(0).to_pylist() for p in similar_stars([m["lid"] for m in g], [m["line"] for m in g])]
+            pairs = [p for g in batch.column(0).to_pylist() for p in similar_stars([m["lid"] for m in g], [m["line"] for m in g], hashes=hashes)]
             a, b = zip(*pairs) if pairs else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -202,17 +210,26 @@ def _in_blocks(members: DataFrame, direct: int) -> DataFrame:
 
 def line_links(rows: DataFrame, lines: DataFrame, nodes: DataFrame, direct: int = DIRECT) -> DataFrame:
     """Edges ``(a, b)`` between lids that give the components of all verified candidates."""
+    return verified_links(nodes, lambda wanted: _texts(rows, wanted), direct)
+
+
+def verified_links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], direct: int, hashes: Hashes = shingle_hashes, piece: int = 1000) -> DataFrame:
+    """Edges ``(a, b)`` that give the components of all ``nodes`` (lid, n, b0, b1, ...) that share a band and are linked.
+
+    ``texts_of`` gives ``(lid, line)`` for the lids of a table, and ``hashes`` the shingles of a list of lines,
+    as :func:`shingle_hashes` does; ``piece`` pairs are held at once.
+    """
     keyed = nodes.select("lid", "n", F.explode(F.array(*(F.xxhash64(F.lit(i), f"b{i}") for i in range(BANDS)))).alias("k"))
     in_bucket = keyed.withColumn("size", F.count("*").over(Window.partitionBy("k"))).where("size > 1")
     members = materialize(in_bucket, "members")
     wanted = members.select("lid").distinct()
-    texts = materialize(_texts(rows, wanted), "texts")
+    texts = materialize(texts_of(wanted), "texts")
     # Each line against one center, the line with the most copies that it shares a bucket with.
     rank = F.struct(F.col("n"), -F.col("lid"))
     centers = members.groupBy("k").agg(F.max(rank).alias("c"))
     pairs = members.join(centers, "k").groupBy("lid").agg((-F.max("c")["col2"]).alias("center")).where("lid != center")
     both = pairs.join(texts.toDF("lid", "b_line"), "lid").join(texts.toDF("center", "a_line"), "center")
-    first = materialize(_linked_pairs(both.withColumnsRenamed({"center": "a", "lid": "b"})), "first")
+    first = materialize(_linked_pairs(both.withColumnsRenamed({"center": "a", "lid": "b"}), hashes, piece), "first")
     roots = connected_components(first)
     # What buckets still hold of different components.
     labelled = members.select("k", "lid").join(roots.toDF("lid", "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
@@ -228,7 +245,7 @@ def line_links(rows: DataFrame, lines: DataFrame, nodes: DataFrame, direct: int
     # A group of near copies shares most of its bands: the same members are compared once.
     alike = dealt.groupBy("k").agg(F.xxhash64(F.sort_array(F.collect_list("lid"))).alias("members")).groupBy("members").agg(F.min("k").alias("k"))
     groups = dealt.join(alike, "k", "left_semi").join(texts, "lid").groupBy("k").agg(F.collect_list(F.struct("lid", "line")).alias("members"))
-    return roots.toDF("a", "b").unionByName(_stars(groups))
+    return roots.toDF("a", "b").unionByName(_stars(groups, hashes))
 
 
 def _with_rh(docs: DataFrame) -> DataFrame:

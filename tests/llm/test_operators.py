@@ -246,6 +246,24 @@ def test_simhash(docs):
     assert {r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()} == {v for v in low.values() if v is not None}
 
 
+def test_similar_texts(spark):
+    """Spread changes leave a similarity over 0.8 but more than 3 bits apart."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(20):
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        near = list(base)
+        for k in (30, 90, 150, 210, 270):
+            near[k] = "changed"
+        far = [f"x{k}" if k % 10 == 0 else w for k, w in enumerate(base)]
+        texts += [base, near, far]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bits = lambda i: simhash.fingerprint(" ".join(texts[i]).encode(), 5)
+    assert any(((bits(i) ^ bits(i + 1)) & (2**64 - 1)).bit_count() > 3 for i in range(0, 60, 3))
+    kept = {r["doc_id"] for r in simhash.keep_one_each(df, similar=True).collect()}
+    assert kept == {i for i in range(60) if i % 3 != 1}
+
+
 @pytest.mark.parametrize("radius", [1, 3])
 def test_links_find_every_pair(spark, radius):
     rng = random.Random(4)
