@@ -29,8 +29,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Units that an earlier document has go from the texts."""
-    return dedup_substrings(docs)
+    """Units that an earlier document has go from the texts, short ones where they repeat together with their neighbours."""
+    return dedup_substrings(docs, runs=True)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

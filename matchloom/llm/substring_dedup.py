@@ -17,8 +17,10 @@ from .cluster import lookup, materialize, row_hash, ship
 
 #: A unit ends after a sentence's end and spaces, or after a line's end. Units follow each other without gaps.
 UNIT = re.compile(r"[^\n]*?(?:[.!?]+[ \t]+|\n|\Z)")
-#: Shorter units are never removed: greetings, headings and the like are no copied passages.
+#: Shorter units alone are never removed: greetings, headings and the like are no copied passages.
 MIN_WORDS = 5
+#: Scripts without spaces between words, from Thai to Han: two characters count as a word of a run.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def split_units(text: str) -> list[str]:
@@ -31,6 +33,30 @@ def digest(unit: str, min_words: int) -> bytes | None:
     return hashlib.md5(b" ".join(words), usedforsecurity=False).digest() if len(words) >= min_words else None
 
 
+def run_digests(units: list[str], min_words: int) -> list[tuple[int, int, bytes]]:
+    """``(unit, first, digest)`` of each shorter unit joined with as few neighbours as give ``min_words`` words.
+
+    Neighbours are those before it, and those after it; units without words count as nothing. ``first`` is where they start.
+    """
+    full = [(i, w, len(w) + (0 if u.isascii() else len(UNSPACED.findall(u)) // 2)) for i, u in enumerate(units) if (w := u.encode().lower().split())]
+    out = []
+    for at, (i, words, _) in enumerate(full):
+        if len(words) >= min_words:
+            continue
+        for step in (-1, 1):
+            end, size = at, full[at][2]
+            while size < min_words and 0 <= end + step < len(full):
+                end += step
+                size += full[end][2]
+            if size >= min_words:
+                low, high = min(at, end), max(at, end)
+                joined = b" ".join(w for _, part, _ in full[low : high + 1] for w in part)
+                out.append((i, full[low][0], hashlib.md5(joined, usedforsecurity=False).digest()))
+                if low == high:
+                    break
+    return out
+
+
 def cut(units: list[str], gone: set[int]) -> tuple[str, list[tuple[int, int]]]:
     """What is left without the units ``gone``, and the removed spans; a removed end of a longer line leaves its line break."""
     kept, spans, at = [], [], 0
@@ -49,29 +75,34 @@ def cut(units: list[str], gone: set[int]) -> tuple[str, list[tuple[int, int]]]:
     return "".join(kept), spans
 
 
-def _units(rows: DataFrame, min_words: int) -> DataFrame:
+def _units(rows: DataFrame, min_words: int, runs: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
             for doc_id, rh, text in zip(*(c.to_pylist() for c in batch.columns)):
-                seen: set[bytes] = set()
-                for i, u in enumerate(split_units(text or "")):
-                    if (d := digest(u, min_words)) is None:
-                        continue
-                    for c, v in zip(cols, (doc_id, rh, i, d, d in seen)):
+                # By digest, the place it starts at first: a run's other units may name the same place.
+                seen: dict[bytes, int] = {}
+                units = split_units(text or "")
+                found = [(i, i, d) for i, u in enumerate(units) if (d := digest(u, min_words)) is not None]
+                if runs:
+                    found = sorted(found + run_digests(units, min_words), key=lambda x: x[1])
+                for i, first, d in found:
+                    for c, v in zip(cols, (doc_id, rh, i, d, seen.setdefault(d, first) != first)):
                         c.append(v)
-                    seen.add(d)
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "rh", "unit", "digest", "again"])
 
     return rows.select("doc_id", "rh", "text").mapInArrow(run, "doc_id long, rh long, unit int, digest binary, again boolean")
 
 
-def removed_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, rh, gone)`` for the documents that lose units. Null doc_ids come last and count as one document."""
+def removed_units(docs: DataFrame, min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
+    """``(doc_id, rh, gone)`` for the documents that lose units. Null doc_ids come last and count as one document.
+
+    With ``runs``, a shorter unit goes too if it and its neighbours on one side repeat together (:func:`run_digests`).
+    """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rh", row_hash())
-    units = materialize(_units(rows, min_words), "units")
+    units = materialize(_units(rows, min_words, runs), "units")
     doc = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     groups = units.groupBy("digest").agg(F.count("*").alias("n"), F.min(doc).alias("first_doc")).where("n > 1")
     hit = lookup(units, groups, "digest", "n", units.count())
@@ -79,10 +110,10 @@ def removed_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return gone.groupBy("doc_id", "rh").agg(F.collect_set("unit").alias("gone"))
 
 
-def _cut_rows(docs: DataFrame, min_words: int) -> DataFrame:
+def _cut_rows(docs: DataFrame, min_words: int, runs: bool = False) -> DataFrame:
     """The columns of ``docs`` and, last, the numbers of the units that go."""
     unused = "gone" + "_" * (1 + max(map(len, docs.columns)))
-    gone = removed_units(docs, min_words).toDF("d", "r", "gone")
+    gone = removed_units(docs, min_words, runs).toDF("d", "r", "gone")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("k"), row_hash().alias("h"))
     return rows.join(gone.hint("shuffle_hash"), F.expr("k <=> d AND h = r"), "left").select("row.*", F.col("gone").alias(unused))
 
@@ -109,9 +140,9 @@ def substring_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, n_units long, n_removed long, n_removed_chars long, kept_sha256 string, spans array<struct<start: long, end: long>>")
 
 
-def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with its columns and the removed units cut from ``text``; null texts stay null."""
-    joined = _cut_rows(docs, min_words)
+def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
+    """``docs`` with its columns and the removed units cut from ``text``; null texts stay null. ``runs`` as in :func:`removed_units`."""
+    joined = _cut_rows(docs, min_words, runs)
     names = docs.columns
     at = names.index("text")
 

@@ -366,6 +366,16 @@ def test_substring_dedup(docs):
     same([hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in out.collect()], [e[4] for e in expected])
 
 
+def test_short_units_of_repeated_passages(spark):
+    verse = "".join(f"Go {w} now.\n" for w in ("red", "blue", "green", "black", "white", "brown"))
+    han = "\u5929\u5730\u7384\u9ec4\u5b87\u5b99\u6d2a\u8352\u65e5\u6708\u76c8\u6603\n"
+    long = "Some first sentence of many words. Yes. Another long sentence follows it here. "
+    texts = ["Alpha opens the first text here. " + long + "\n" + verse + han, "Beta opens another text right here. " + long + "\n" + verse + "End.\n" + han, "No. Yes. Gamma is a third text with its own words. Yes."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_substrings(df, runs=True).collect()}
+    assert left == {0: texts[0], 1: "Beta opens another text right here. \nEnd.\n", 2: texts[2]}
+
+
 @pytest.mark.parametrize("window,sizes", [(200, {}), (40, {}), (40, {"sort_bytes": 2000, "gram_bytes": 1500})])
 def test_suffix_dedup(docs, window, sizes):
     rows = [(i, (t or "").encode()) for i, t in texts_of(docs)]
