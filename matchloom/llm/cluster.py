@@ -6,17 +6,21 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Up to this many rows on the many side, a join treats no key as hot: one task could hold them all.
 SMALL_ROWS = 10_000
-#: A key is hot if it holds more than 1 / HOT_SHARE of the rows, so fewer than HOT_SHARE keys can be hot.
-HOT_SHARE = 1000
+#: A key is hot if it holds more than 1 / HOT_SHARE of the rows and more than HOT_ROWS: fewer than HOT_SHARE keys can be hot.
+HOT_SHARE, HOT_ROWS = 20_000, 1000
 
 _shipped: set[str] = set()
+#: The folder of each materialized table.
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def ship(spark: SparkSession) -> None:
@@ -42,32 +46,48 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/matchloom-{uuid.uuid4().hex}"
 
 
-def release(spark: SparkSession) -> None:
-    """Free the disk of finished jobs' shuffles.
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Within, Spark deletes an execution's shuffle files as soon as it has ended.
 
-    Spark deletes them once the driver's JVM finds them unreachable, without this whenever it happens to collect garbage.
-    What follows a written table never reads them, not even after losing executors.
+    Only for what is written or counted at once: what follows reads the written table and never the shuffle,
+    not even after losing executors.
     """
-    spark.sparkContext._jvm.java.lang.System.gc()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame, tag: str = "rows") -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, tag: str = "rows", **options: str) -> DataFrame:
+    """Write to the shared folder and read again: cuts lineage, survives lost executors. ``options`` go to the writer."""
     path = f"{shared_dir(df.sparkSession)}/{tag}"
-    df.write.parquet(path)
-    release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.options(**options).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_written.pop(df)).getParent()
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def lookup(many: DataFrame, unique: DataFrame, key: str, count: str, total: int, small: int = SMALL_ROWS) -> DataFrame:
     """Inner join of ``many`` with ``unique`` (one row per ``key``; ``count`` says how many rows of ``many`` it has).
 
-    Keys that hold more than a thousandth of ``total`` rows are joined by broadcast: there are
-    fewer than a thousand of them whatever the input, so the broadcast is bounded. The rest is shuffled.
+    Hot keys are joined by broadcast: there are fewer than HOT_SHARE of them whatever the input, so the
+    broadcast is bounded. The rest is shuffled.
     """
     if total <= small:
         return many.join(unique, key)
-    hot = unique.where(F.col(count) * HOT_SHARE > total)
+    hot = unique.where(F.col(count) > max(HOT_ROWS, total // HOT_SHARE))
     cold = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(unique, key)
     return cold.unionByName(many.join(F.broadcast(hot), key))
 

@@ -13,10 +13,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import lookup, materialize, row_hash, ship
+from .cluster import drop, lookup, materialize, row_hash, ship
 from .components import connected_components
 
 #: Code points of a shingle, a power of two.
@@ -26,65 +27,129 @@ BANDS, ROWS = 10, 4
 THRESHOLD = 0.8
 #: Lines that one task compares with each other.
 DIRECT = 2_000
-#: Code points that are hashed at once.
-PIECE = 1 << 20
+#: Groups of up to this many lines are compared set by set.
+FEW = 24
+#: Code points that are hashed at once, and shingles that go through the hash functions at once.
+PIECE, BLOCK = 1 << 20, 1 << 16
 
-_RNG = np.random.default_rng(7)
-_MULTIPLY = _RNG.integers(0, 1 << 31, 256, np.uint32) * np.uint32(2) + np.uint32(1)
-_ADD = _RNG.integers(0, 1 << 32, 256, np.uint32)
+_MULTIPLY = np.random.default_rng(7).integers(0, 1 << 31, 256, np.uint32) * np.uint32(2) + np.uint32(1)
 _BASE = 0xD6E8FEB86659FD93
 
 #: Of a list: all 64-bit shingle hashes, each item's first index and number.
 Hashes = Callable[[list], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
+_PLAIN = bytes(32 if c in b"\t\x0b\x0c\r" else c for c in bytes(range(256)).lower())
+
+
 def normalize(line: bytes) -> bytes:
     """ASCII letters lower-cased, white space collapsed and stripped; b"" for a blank line."""
     return b" ".join(line.lower().split())
 
 
-def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of all shingles of ``lines``, with each line's first index and number; a shorter line is one shingle."""
+def normal_lines(text: bytes | None) -> list[tuple[int, bytes]]:
+    """``(number, normalized line)`` of the lines that aren't blank."""
+    lines = (text or b"").translate(_PLAIN).split(b"\n")
+    return [(no, x) for no, line in enumerate(lines) if (x := b" ".join(line.split()) if b"  " in line else line.strip(b" "))]
+
+
+def _rolled(lines: list[str] | list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A polynomial of the code points of each shingle in ``kind``, by doubling; then as :func:`shingle_hashes`."""
+    lines = [x.decode() if isinstance(x, bytes) else x for x in lines]
     padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
     sizes = np.array([len(x) for x in padded])
-    h, size = np.frombuffer("".join(padded).encode("utf-32-le"), "<u4").astype(np.uint64), 1
+    h, size = np.frombuffer("".join(padded).encode("utf-32-le"), "<u4").astype(kind), 1
     while size < SHINGLE:
-        h = h[:-size] * np.uint64(pow(_BASE, size, 1 << 64)) + h[size:]
+        h = h[:-size] * kind(pow(_BASE, size, 1 << 8 * h.itemsize)) + h[size:]
         size *= 2
+    return h, np.cumsum(sizes) - sizes, sizes - SHINGLE + 1
+
+
+def shingle_hashes(lines: list[str] | list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all shingles of ``lines``, with each line's first index and number; a shorter line is one shingle."""
+    h, first, n = _rolled(lines, np.uint64)
     h ^= h >> np.uint64(31)
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(30)
-    return h, np.cumsum(sizes) - sizes, sizes - SHINGLE + 1
+    return h, first, n
 
 
-def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """Keys of shape (lines, bands): equal in a band if its ``rows`` minima are equal."""
-    return hashed_keys(*shingle_hashes(lines), bands, rows)
+def band_keys(lines: list[str] | list[bytes], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """Keys of shape (lines, bands): equal in a band if its ``rows`` minima are equal. Signatures need 32 bits of hash only."""
+    ends = np.cumsum([len(x) for x in lines])
+    out, a = [np.zeros((0, bands), np.uint64)], 0
+    while a < len(lines):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 2 * BLOCK, "right")))
+        x, first, n = _rolled(lines[a:b], np.uint32)
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
+        x ^= x >> np.uint32(12)
+        out.append(minima_keys(x, first, n, bands, rows))
+        a = b
+    return np.concatenate(out)
 
 
 def hashed_keys(h: np.ndarray, first: np.ndarray, n: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    x = (h >> np.uint64(32)).astype(np.uint32)
-    cuts = np.stack([first, np.minimum(first + n, len(x) - 1)], axis=1).ravel()
-    # reduceat also reduces what lies between lines; the last line may end with the array.
-    cuts = cuts[:-1] if first[-1] + n[-1] >= len(x) else cuts
-    out = np.zeros((len(first), bands), np.uint64)
-    for i in range(bands * rows):
-        low = np.minimum.reduceat(x * _MULTIPLY[i] + _ADD[i], cuts)[::2]
-        k = out[:, i // rows]
-        k += low
-        k *= np.uint64(0x9E3779B97F4A7C15)
-        k ^= k >> np.uint64(29)
+    """:func:`band_keys` of items whose 64-bit hashes are given."""
+    return minima_keys((h >> np.uint64(32)).astype(np.uint32), first, n, bands, rows)
+
+
+def minima_keys(x: np.ndarray, first: np.ndarray, n: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    ends = np.cumsum(n)
+    starts = ends - n
+    if len(x) > ends[-1]:  # without what lies between the lines
+        edge = np.zeros(len(x) + 1, np.int8)
+        edge[first] += 1
+        edge[first + n] -= 1
+        x = x[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    out = np.zeros((len(n), bands), np.uint64)
+    held = np.empty(BLOCK + int(n.max()), np.uint32)
+    a = 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + BLOCK, "right")))
+        part, cuts = x[starts[a] : ends[b - 1]], starts[a:b] - starts[a]
+        y = held[: len(part)]
+        for i in range(bands * rows):
+            # An odd factor permutes the 32-bit numbers.
+            np.multiply(part, _MULTIPLY[i], out=y)
+            k = out[a:b, i // rows]
+            k += np.minimum.reduceat(y, cuts)
+            k *= np.uint64(0x9E3779B97F4A7C15)
+            k ^= k >> np.uint64(29)
+        a = b
     return out
 
 
-def similar_stars(keys: list[int], lines: list, threshold: float = THRESHOLD, hashes: Hashes = shingle_hashes) -> list[tuple[int, int]]:
-    """A star (first, other) for each component of lines linked at the threshold, by exact Jaccard similarity."""
-    h, first, n = hashes(lines)
-    sets = [np.unique(h[a : a + k]) for a, k in zip(first, n)]
+def linked(a: set, b: set, threshold: float = THRESHOLD) -> bool:
+    """Is the exact Jaccard similarity of two sets at the threshold?"""
+    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
+        return False
+    common = len(a & b)
+    return common >= threshold * (len(a) + len(b) - common)
+
+
+def few_stars(keys: list[int], sets: list[set], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """:func:`similar_stars` of a small group."""
+    out, unseen = [], list(range(len(keys)))
+    while len(unseen) > 1:
+        top, unseen = unseen[0], unseen[1:]
+        queue = [top]
+        while queue and unseen:
+            i = queue.pop()
+            hit = [j for j in unseen if linked(sets[i], sets[j], threshold)]
+            if hit:
+                out += [(keys[top], keys[j]) for j in hit]
+                queue += hit
+                unseen = [j for j in unseen if j not in hit]
+    return out
+
+
+def similar_stars(keys: list[int], sets: list[np.ndarray], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """A star (first, other) for each component of lines linked at the threshold. ``sets`` has each line's different hashes."""
     sizes = np.array([len(s) for s in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     starts = np.cumsum(sizes) - sizes
-    out, unseen, mark = [], np.arange(len(lines)), np.zeros(ids.max() + 1, bool)
+    out, unseen, mark = [], np.arange(len(sets)), np.zeros(ids.max() + 1, bool)
     while len(unseen) > 1:
         top, unseen = unseen[0], unseen[1:]
         queue = [top]
@@ -106,7 +171,10 @@ def similar_stars(keys: list[int], lines: list, threshold: float = THRESHOLD, ha
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """A row per line that isn't blank: doc_id, rh, line_no, lid and its band keys b0, b1, ..."""
+    """A row per line that isn't blank: doc_id, rh, line_no, lid and its band keys b0, b1, ...
+
+    The keys are null where a line was seen just before: signatures are made once per batch.
+    """
     import xxhash
 
     names = [f"b{i}" for i in range(BANDS)]
@@ -114,13 +182,12 @@ def _lines(rows: DataFrame) -> DataFrame:
     def pieces(batch):
         held, size = [], 0
         for doc_id, rh, text in zip(*(c.to_pylist() for c in batch.columns)):
-            for no, line in enumerate((text or b"").split(b"\n")):
-                if line := normalize(line):
-                    held.append((doc_id, rh, no, line))
-                    size += len(line)
-                    if size >= PIECE:
-                        yield held
-                        held, size = [], 0
+            for no, line in normal_lines(text):
+                held.append((doc_id, rh, no, line))
+                size += len(line)
+                if size >= PIECE:
+                    yield held
+                    held, size = [], 0
         if held:
             yield held
 
@@ -128,10 +195,16 @@ def _lines(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for held in pieces(batch):
                 doc_id, rh, no, lines = zip(*held)
-                lid = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines)).view(np.int64)
-                keys = band_keys([x.decode() for x in lines]).view(np.int64)
+                at: dict[bytes, int] = {}
+                place = [at.setdefault(x, len(at)) for x in lines]
+                lid = np.fromiter(map(xxhash.xxh3_64_intdigest, at), np.uint64, len(at)).view(np.int64)[place]
+                keys = band_keys(list(at)).view(np.int64)
+                _, first = np.unique(place, return_index=True)
+                again = np.ones(len(place), bool)
+                again[first] = False
+                from_keys = pa.array(place, pa.int64(), mask=again)
                 cols = [pa.array(doc_id, pa.int64()), pa.array(rh, pa.int64()), pa.array(no, pa.int32()), pa.array(lid)]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(np.ascontiguousarray(keys[:, i])) for i in range(BANDS))], ["doc_id", "rh", "line_no", "lid", *names])
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(np.ascontiguousarray(keys[:, i])).take(from_keys) for i in range(BANDS))], ["doc_id", "rh", "line_no", "lid", *names])
 
     schema = "doc_id long, rh long, line_no int, lid long" + "".join(f", {b} long" for b in names)
     return rows.select("doc_id", "rh", F.col("text").cast("binary")).mapInArrow(run, schema)
@@ -143,26 +216,30 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            lines = {x for text in batch.column(0).to_pylist() for line in (text or b"").split(b"\n") if (x := normalize(line))}
+            lines = list({x for text in batch.column(0).to_pylist() for _, x in normal_lines(text)})
             lids = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(lids, pa.int64()), pa.array([x.decode() for x in lines], pa.string())], ["lid", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(lids, pa.int64()), pa.array(lines, pa.binary())], ["lid", "line"])
 
-    every = rows.select(F.col("text").cast("binary")).mapInArrow(run, "lid long, line string")
+    every = rows.select(F.col("text").cast("binary")).mapInArrow(run, "lid long, line binary")
     return every.join(wanted.hint("shuffle_hash"), "lid", "left_semi").dropDuplicates(["lid"])
 
 
-def similar_pairs(pairs: list[tuple], threshold: float = THRESHOLD, hashes: Hashes = shingle_hashes) -> list[bool]:
-    """Which pairs of lines are linked at the threshold, by exact Jaccard similarity."""
-    if not pairs:
-        return []
-    h, first, n = hashes([x for p in pairs for x in p])
-    ends, out = (first + n).tolist(), []
-    first = first.tolist()
-    for i in range(0, len(ends), 2):
-        a, b = set(h[first[i] : ends[i]].tolist()), set(h[first[i + 1] : ends[i + 1]].tolist())
-        common = len(a & b)
-        out.append(common >= threshold * (len(a) + len(b) - common))
-    return out
+class _Sets:
+    """The shingle sets of lines by id, each made once."""
+
+    def __init__(self, lines: dict[int, bytes], hashes: Hashes):
+        h, first, n = hashes(list(lines.values()))
+        self.h, self.at, self.made = h, {k: (int(a), int(a + m)) for k, a, m in zip(lines, first, n)}, {}
+
+    def __getitem__(self, key: int) -> set:
+        if key not in self.made:
+            a, b = self.at[key]
+            self.made[key] = set(self.h[a:b].tolist())
+        return self.made[key]
+
+    def array(self, key: int) -> np.ndarray:
+        a, b = self.at[key]
+        return np.unique(self.h[a:b])
 
 
 def _linked_pairs(pairs: DataFrame, hashes: Hashes, piece: int) -> DataFrame:
@@ -170,9 +247,12 @@ def _linked_pairs(pairs: DataFrame, hashes: Hashes, piece: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i in range(0, batch.num_rows, piece):
                 part = batch.slice(i, piece)
-                good = similar_pairs(list(zip(part.column(2).to_pylist(), part.column(3).to_pylist())), hashes=hashes)
+                ids = a[i : i + piece], b[i : i + piece]
+                sets = _Sets(dict(zip(ids[0] + ids[1], part.column(2).to_pylist() + part.column(3).to_pylist())), hashes)
+                good = [linked(sets[x], sets[y]) for x, y in zip(*ids)]
                 yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return pairs.select("a", "b", "a_line", "b_line").mapInArrow(run, "a long, b long")
@@ -181,9 +261,27 @@ def _linked_pairs(pairs: DataFrame, hashes: Hashes, piece: int) -> DataFrame:
 def _stars(groups: DataFrame, hashes: Hashes) -> DataFrame:
     """Edges within each array of (lid, line)."""
 
+    def held(batch):
+        """Groups whose lines come to PIECE / 4 bytes, or one larger group."""
+        lists, lids, lines = batch.column(0), batch.column(0).flatten().field("lid").to_pylist(), batch.column(0).flatten().field("line")
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        sizes = np.cumsum(np.concatenate([[0], pc.binary_length(lines).to_numpy(zero_copy_only=False)]))
+        i = 0
+        while i < len(ends):
+            start = ends[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(sizes[ends], sizes[start] + PIECE // 4, "right")))
+            cuts = [start, *ends[i:j].tolist()]
+            texts = lines.slice(start, cuts[-1] - start).to_pylist()
+            yield [lids[x:y] for x, y in zip(cuts, cuts[1:])], dict(zip(lids[start : cuts[-1]], texts))
+            i = j
+
     def run(batches):
         for batch in batches:
-            pairs = [p for g in batch.column(0).to_pylist() for p in similar_stars([m["lid"] for m in g], [m["line"] for m in g], hashes=hashes)]
+            pairs = []
+            for members, lines in held(batch):
+                sets = _Sets(lines, hashes)
+                for ids in members:
+                    pairs += few_stars(ids, [sets[x] for x in ids]) if len(ids) <= FEW else similar_stars(ids, [sets.array(x) for x in ids])
             a, b = zip(*pairs) if pairs else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -208,18 +306,18 @@ def _in_blocks(members: DataFrame, direct: int) -> DataFrame:
     return met.unionByName(asked)
 
 
-def line_links(rows: DataFrame, lines: DataFrame, nodes: DataFrame, direct: int = DIRECT) -> DataFrame:
-    """Edges ``(a, b)`` between lids that give the components of all verified candidates."""
-    return verified_links(nodes, lambda wanted: _texts(rows, wanted), direct)
+def line_roots(rows: DataFrame, nodes: DataFrame, direct: int = DIRECT) -> DataFrame:
+    """``(lid, root)`` of the lines that are linked to another, by all verified candidates."""
+    return verified_roots(nodes, lambda wanted: _texts(rows, wanted), direct)
 
 
-def verified_links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], direct: int, hashes: Hashes = shingle_hashes, piece: int = 1000) -> DataFrame:
-    """Edges ``(a, b)`` that give the components of all ``nodes`` (lid, n, b0, b1, ...) that share a band and are linked.
+def verified_roots(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], direct: int, hashes: Hashes = shingle_hashes, piece: int = 1000) -> DataFrame:
+    """``(lid, root)``: the components of ``nodes`` (lid, n, b0, b1, ...) that share a band and are linked, but for single ones.
 
     ``texts_of`` gives ``(lid, line)`` for the lids of a table, and ``hashes`` the shingles of a list of lines,
     as :func:`shingle_hashes` does; ``piece`` pairs are held at once.
     """
-    keyed = nodes.select("lid", "n", F.explode(F.array(*(F.xxhash64(F.lit(i), f"b{i}") for i in range(BANDS)))).alias("k"))
+    keyed = nodes.select("lid", "n", F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("k"))
     in_bucket = keyed.withColumn("size", F.count("*").over(Window.partitionBy("k"))).where("size > 1")
     members = materialize(in_bucket, "members")
     wanted = members.select("lid").distinct()
@@ -230,7 +328,7 @@ def verified_links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     pairs = members.join(centers, "k").groupBy("lid").agg((-F.max("c")["col2"]).alias("center")).where("lid != center")
     both = pairs.join(texts.toDF("lid", "b_line"), "lid").join(texts.toDF("center", "a_line"), "center")
     first = materialize(_linked_pairs(both.withColumnsRenamed({"center": "a", "lid": "b"}), hashes, piece), "first")
-    roots = connected_components(first)
+    roots = materialize(connected_components(first), "roots")
     # What buckets still hold of different components.
     labelled = members.select("k", "lid").join(roots.toDF("lid", "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
     mixed = labelled.groupBy("k").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 != r1")
@@ -245,7 +343,16 @@ def verified_links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     # A group of near copies shares most of its bands: the same members are compared once.
     alike = dealt.groupBy("k").agg(F.xxhash64(F.sort_array(F.collect_list("lid"))).alias("members")).groupBy("members").agg(F.min("k").alias("k"))
     groups = dealt.join(alike, "k", "left_semi").join(texts, "lid").groupBy("k").agg(F.collect_list(F.struct("lid", "line")).alias("members"))
-    return roots.toDF("a", "b").unionByName(_stars(groups, hashes))
+    more = materialize(_stars(groups, hashes), "more")
+    # Further links join what the first round has found: only its roots are nodes now.
+    named = lambda c: roots.toDF(c, f"{c}_root")
+    ends = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    tops = materialize(connected_components(ends), "tops")
+    upper = tops.toDF("root", "top")
+    every = roots.toDF("lid", "root").join(upper, "root", "left").select("lid", F.coalesce("top", "root").alias("root"))
+    found = materialize(every.unionByName(tops.toDF("lid", "root")).distinct(), "found")
+    drop(members, texts, first, roots, open_, more, tops)
+    return found
 
 
 def _with_rh(docs: DataFrame) -> DataFrame:
@@ -260,17 +367,19 @@ def removed_lines(docs: DataFrame, direct: int = DIRECT) -> DataFrame:
     """
     ship(docs.sparkSession)
     rows = _with_rh(docs)
-    lines = materialize(_lines(rows), "lines")
+    # Keys are random numbers: a dictionary of them would only cost time.
+    lines = materialize(_lines(rows), "lines", **{f"parquet.enable.dictionary#{c}": "false" for c in ("lid", *(f"b{i}" for i in range(BANDS)))})
     last = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc")
     keys = [F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)]
     nodes = materialize(lines.select("lid", last, *(f"b{i}" for i in range(BANDS))).groupBy("lid").agg(F.count("*").alias("n"), F.min("doc").alias("doc"), *keys), "nodes")
-    roots = connected_components(line_links(rows, lines, nodes, direct))
-    named = nodes.select("lid", "n", "doc").join(roots.toDF("lid", "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
+    roots = line_roots(rows, nodes, direct)
+    named = nodes.select("lid", "n", "doc").join(roots, "lid", "left").withColumn("root", F.coalesce("root", "lid"))
     named = materialize(named, "named")
     whole = named.groupBy("root").agg(F.min("doc").alias("doc"), F.sum("n").alias("all"), F.count("*").alias("lids")).where("all > 1")
     total = lines.count()
     dup = materialize(lookup(named.select("lid", "n", "root"), whole, "root", "lids", total).select("lid", "n", "root", F.col("doc").alias("first_doc")), "dup")
-    hit = lookup(lines.select("doc_id", "rh", "line_no", "lid", last), dup, "lid", "n", total)
+    hit = materialize(lookup(lines.select("doc_id", "rh", "line_no", "lid", last), dup, "lid", "n", total).drop("lid", "n"), "hit")
+    drop(lines, nodes, named, dup)
     at_first = hit.where("doc = first_doc")
     # Within the first document only, so a window's rows are bounded by a text. Copies of the row all keep the line.
     order = Window.partitionBy("root").orderBy("line_no", "rh")
@@ -283,8 +392,8 @@ def removed_lines(docs: DataFrame, direct: int = DIRECT) -> DataFrame:
 def line_report(docs: DataFrame, direct: int = DIRECT) -> DataFrame:
     """Per row of ``docs``: doc_id, n_lines (not blank), n_removed, removed (line numbers) and components (of these lines)."""
     removed = removed_lines(docs, direct)
-    blank = "^[\\x20\\x09-\\x0D]*$"
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("rh"), F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ~x.rlike(blank))).alias("n_lines"))
+    filled = r"(?dm)^[\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D]"
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("rh"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(filled)).alias("n_lines"))
     r = removed.withColumnsRenamed({"doc_id": "d", "rh": "r"})
     none = lambda c, t: F.coalesce(c, F.array().cast(t))
     return sizes.join(r, F.expr("doc_id <=> d AND rh = r"), "left").select(
