@@ -79,7 +79,7 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def lookup(many: DataFrame, unique: DataFrame, key: str, count: str, total: int, small: int = SMALL_ROWS) -> DataFrame:
+def lookup(many: DataFrame, unique: DataFrame, key: str | list[str], count: str, total: int, small: int = SMALL_ROWS) -> DataFrame:
     """Inner join of ``many`` with ``unique`` (one row per ``key``; ``count`` says how many rows of ``many`` it has).
 
     Hot keys are joined by broadcast: there are fewer than HOT_SHARE of them whatever the input, so the
@@ -88,7 +88,8 @@ def lookup(many: DataFrame, unique: DataFrame, key: str, count: str, total: int,
     if total <= small:
         return many.join(unique, key)
     hot = unique.where(F.col(count) > max(HOT_ROWS, total // HOT_SHARE))
-    cold = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(unique, key)
+    keys = [key] if isinstance(key, str) else key
+    cold = many.join(F.broadcast(hot.select(*keys)), key, "left_anti").join(unique, key)
     return cold.unionByName(many.join(F.broadcast(hot), key))
 
 

@@ -242,17 +242,30 @@ class _Sets:
         return np.unique(self.h[a:b])
 
 
-def _linked_pairs(pairs: DataFrame, hashes: Hashes, piece: int) -> DataFrame:
+def _ranges(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Consecutive ranges whose sizes come to ``most`` at most, or of one larger item."""
+    ends, out, i = np.cumsum(sizes), [], 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        out.append((i, j))
+        i = j
+    return out
+
+
+def _bytes(lines: pa.Array) -> np.ndarray:
+    return pc.binary_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _linked_pairs(pairs: DataFrame, hashes: Hashes) -> DataFrame:
     """The ``(a, b)`` of ``pairs`` (a, b, a_line, b_line) that are linked."""
 
     def run(batches):
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, batch.num_rows, piece):
-                part = batch.slice(i, piece)
-                ids = a[i : i + piece], b[i : i + piece]
-                sets = _Sets(dict(zip(ids[0] + ids[1], part.column(2).to_pylist() + part.column(3).to_pylist())), hashes)
-                good = [linked(sets[x], sets[y]) for x, y in zip(*ids)]
+            for i, j in _ranges(_bytes(batch.column(2)) + _bytes(batch.column(3)), PIECE // 4):
+                part = batch.slice(i, j - i)
+                sets = _Sets(dict(zip(a[i:j] + b[i:j], part.column(2).to_pylist() + part.column(3).to_pylist())), hashes)
+                good = [linked(sets[x], sets[y]) for x, y in zip(a[i:j], b[i:j])]
                 yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return pairs.select("a", "b", "a_line", "b_line").mapInArrow(run, "a long, b long")
@@ -262,18 +275,14 @@ def _stars(groups: DataFrame, hashes: Hashes) -> DataFrame:
     """Edges within each array of (lid, line)."""
 
     def held(batch):
-        """Groups whose lines come to PIECE / 4 bytes, or one larger group."""
-        lists, lids, lines = batch.column(0), batch.column(0).flatten().field("lid").to_pylist(), batch.column(0).flatten().field("line")
-        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
-        sizes = np.cumsum(np.concatenate([[0], pc.binary_length(lines).to_numpy(zero_copy_only=False)]))
-        i = 0
-        while i < len(ends):
-            start = ends[i - 1] if i else 0
-            j = max(i + 1, int(np.searchsorted(sizes[ends], sizes[start] + PIECE // 4, "right")))
-            cuts = [start, *ends[i:j].tolist()]
-            texts = lines.slice(start, cuts[-1] - start).to_pylist()
-            yield [lids[x:y] for x, y in zip(cuts, cuts[1:])], dict(zip(lids[start : cuts[-1]], texts))
-            i = j
+        """Groups of a bounded number of bytes, or one larger group."""
+        lids, lines = batch.column(0).flatten().field("lid").to_pylist(), batch.column(0).flatten().field("line")
+        ends = np.cumsum(batch.column(0).value_lengths().to_numpy(zero_copy_only=False))
+        upto = np.concatenate([[0], np.cumsum(_bytes(lines))])[ends]
+        for i, j in _ranges(np.diff(upto, prepend=0), PIECE // 4):
+            cuts = [int(ends[i - 1]) if i else 0, *ends[i:j].tolist()]
+            texts = lines.slice(cuts[0], cuts[-1] - cuts[0]).to_pylist()
+            yield [lids[x:y] for x, y in zip(cuts, cuts[1:])], dict(zip(lids[cuts[0] : cuts[-1]], texts))
 
     def run(batches):
         for batch in batches:
@@ -311,11 +320,11 @@ def line_roots(rows: DataFrame, nodes: DataFrame, direct: int = DIRECT) -> DataF
     return verified_roots(nodes, lambda wanted: _texts(rows, wanted), direct)
 
 
-def verified_roots(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], direct: int, hashes: Hashes = shingle_hashes, piece: int = 1000) -> DataFrame:
+def verified_roots(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], direct: int, hashes: Hashes = shingle_hashes) -> DataFrame:
     """``(lid, root)``: the components of ``nodes`` (lid, n, b0, b1, ...) that share a band and are linked, but for single ones.
 
     ``texts_of`` gives ``(lid, line)`` for the lids of a table, and ``hashes`` the shingles of a list of lines,
-    as :func:`shingle_hashes` does; ``piece`` pairs are held at once.
+    as :func:`shingle_hashes` does.
     """
     keyed = nodes.select("lid", "n", F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("k"))
     in_bucket = keyed.withColumn("size", F.count("*").over(Window.partitionBy("k"))).where("size > 1")
@@ -327,7 +336,7 @@ def verified_roots(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     centers = members.groupBy("k").agg(F.max(rank).alias("c"))
     pairs = members.join(centers, "k").groupBy("lid").agg((-F.max("c")["col2"]).alias("center")).where("lid != center")
     both = pairs.join(texts.toDF("lid", "b_line"), "lid").join(texts.toDF("center", "a_line"), "center")
-    first = materialize(_linked_pairs(both.withColumnsRenamed({"center": "a", "lid": "b"}), hashes, piece), "first")
+    first = materialize(_linked_pairs(both.withColumnsRenamed({"center": "a", "lid": "b"}), hashes), "first")
     roots = materialize(connected_components(first), "roots")
     # What buckets still hold of different components.
     labelled = members.select("k", "lid").join(roots.toDF("lid", "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))

@@ -110,7 +110,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, shingle: int, direct: int
         rows = docs.select(F.col("doc_id").cast("long").alias("k"), row_hash().alias("h"), "text")
         return rows.join(one, F.expr("k <=> first AND h = lid")).select("lid", "text").mapInArrow(run, "lid long, line binary").dropDuplicates(["lid"])
 
-    found = verified_roots(nodes, texts_of, direct, _packed, piece=100).toDF("a", "b")
+    found = verified_roots(nodes, texts_of, direct, _packed).toDF("a", "b")
     fps = nodes.select("lid", "fp")
     both = found.join(fps.toDF("a", "fa"), "a").join(fps.toDF("b", "fb"), "b")
     return both.select(F.col("fa").alias("a"), F.col("fb").alias("b")).where("a != b")

@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import lookup, materialize, row_hash, ship
+from .cluster import drop, lookup, materialize, row_hash, ship
 
 #: Bytes of a k-gram, a power of two.
 GRAM = 32
-#: Bytes of text that a sorting task gets, and the most that one k-gram may bring there.
+#: Bytes of text that are sorted at once, and the most that one k-gram may bring there.
 SORT_BYTES, GRAM_BYTES = 2_000_000, 4_000_000
+#: Sorts that one task makes, one after the other.
+SORTS = 16
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 22
 
@@ -75,6 +77,17 @@ def _keys(t: np.ndarray) -> np.ndarray:
     return k[: len(t)]
 
 
+def _shared(keys: np.ndarray, at: np.ndarray, known: np.ndarray, most: int) -> np.ndarray:
+    """Bytes, a multiple of eight, that each suffix in ``at`` shares with the one before it, of which ``known`` are; up to ``most``."""
+    out = known.copy()
+    live = np.arange(1, len(at))
+    while len(live):
+        d = out[live]
+        live = live[(d < most) & (keys[at[live] + d] == keys[at[live - 1] + d])]
+        out[live] += 8
+    return np.minimum(out, most)
+
+
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of ``t`` in order of their first ``depth`` bytes at least, by two-stage sorting."""
     n = len(t)
@@ -86,27 +99,36 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     small = np.zeros(n, bool)
     has = nxt < len(differs)
     small[has] = t[differs[nxt[has]]] < t[differs[nxt[has]] + 1]
-    # First stage: sort the small ones by eight bytes at a time, only within what is still tied.
+    # First stage: sort the small ones by eight bytes, then what is tied by the eight after those that all of a tie share.
     keys = np.concatenate([_keys(t), np.zeros(depth + 8, np.uint64)])
     order = np.flatnonzero(small)
     order = order[np.argsort(keys[order], kind="stable")]
     k = keys[order]
-    group = np.cumsum(np.r_[False, k[1:] != k[:-1]])
-    for d in range(8, depth, 8):
-        if len(order) < 2:
-            break
-        tied = np.r_[False, group[1:] == group[:-1]]
+    at, g = np.arange(len(order)), np.cumsum(np.r_[False, k[1:] != k[:-1]])[: len(order)]
+    known = np.full(len(order), 8)
+    while len(at):
+        tied = np.r_[False, g[1:] == g[:-1]]
         tied |= np.r_[tied[1:], False]
-        at = np.flatnonzero(tied)
+        at, g, known = at[tied], g[tied], known[tied]
         if not len(at):
             break
-        sub, g = order[at], group[at]
-        k = keys[sub + d]
+        sub = order[at]
+        heads = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        same = _shared(keys, sub, known, depth)
+        same[heads] = depth
+        least = np.minimum.reduceat(same, heads)
+        size = np.diff(np.r_[heads, len(g)])
+        # A tie that shares all of the depth is done; any other is split by the next eight bytes.
+        open_ = np.repeat(least < depth, size)
+        if not open_.any():
+            break
+        at, sub, least = at[open_], sub[open_], np.repeat(least, size)[open_]
+        g = np.repeat(np.arange(len(heads)), size)[open_]
+        k = keys[sub + least]
         by = np.lexsort((k, g))
         order[at], k, g = sub[by], k[by], g[by]
-        new = np.zeros(len(order), bool)
-        new[at[1:]] = (g[1:] == g[:-1]) & (k[1:] != k[:-1])
-        group = group + np.cumsum(new)
+        g = np.cumsum(np.r_[False, (g[1:] != g[:-1]) | (k[1:] != k[:-1])])
+        known = least + 8
     small_by_byte = np.searchsorted(t[order], np.arange(257))
     # Second stage: scan the buckets in order. Each sorted suffix puts its predecessor, if large, next in its bucket.
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -206,12 +228,15 @@ def _find_runs(rows: DataFrame, window: int) -> DataFrame:
                 digest = np.fromiter(
                     (xxhash.xxh3_64_intdigest(view[a : b + window], p) for a, b, p in zip(first.tolist(), last.tolist(), (at - first).tolist())), np.uint64, len(h)
                 )
-                _, kept, where, copies = np.unique(np.stack([h, digest]), axis=1, return_index=True, return_inverse=True, return_counts=True)
-                flags = np.zeros(len(text) + 1, np.int64)
-                again = copies[where.ravel()] > 1
-                np.add.at(flags, first[again], 1)
-                np.add.at(flags, last[again] + window, -1)
-                own = _spans(np.cumsum(flags)[:-1] > 0) if again.any() else []
+                found = list(zip(h.view(np.int64).tolist(), digest.view(np.int64).tolist()))
+                kept, copies, own = np.arange(len(h)), np.ones(len(h), np.int64), []
+                if len(set(found)) < len(found):
+                    _, kept, where, copies = np.unique(np.stack([h, digest]), axis=1, return_index=True, return_inverse=True, return_counts=True)
+                    flags = np.zeros(len(text) + 1, np.int64)
+                    again = copies[where.ravel()] > 1
+                    np.add.at(flags, first[again], 1)
+                    np.add.at(flags, last[again] + window, -1)
+                    own = _spans(np.cumsum(flags)[:-1] > 0)
                 n = len(kept) + len(own)
                 cols[0] += h[kept].view(np.int64).tolist() + [None] * len(own)
                 cols[1] += digest[kept].view(np.int64).tolist() + [b for _, b in own]
@@ -244,26 +269,35 @@ def _with_text(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     return once.mapInArrow(run, "gram long, digest long, doc_id long, rh long, start long, copies long, bytes binary")
 
 
-def _sorted_covers(segments: DataFrame, window: int) -> DataFrame:
-    """Covers of the runs that occur once, from a suffix sort of each partition."""
+def _sorted_covers(segments: DataFrame, window: int, sort_bytes: int) -> DataFrame:
+    """Covers of the runs that occur once, from suffix sorts of whole k-grams' runs: ``segments`` are in order of gram."""
+
+    def found(segs):
+        for (doc_id, rh, start, copies, _), flags in zip(segs, repeated([s[4] for s in segs], window)):
+            if copies == 1 and flags.any():
+                yield from ((doc_id, rh, start + a, start + b - 1 + window) for a, b in _spans(flags))
 
     def run(batches):
         held: dict[tuple, tuple] = {}
+        size, last = 0, None
         for batch in batches:
+            out = []
             for gram, digest, doc_id, rh, start, copies, text in zip(*(c.to_pylist() for c in batch.columns)):
-                held[gram, digest] = doc_id, rh, start, copies, text
-        out = []
-        segs = list(held.values())
-        for (doc_id, rh, start, copies, _), flags in zip(segs, repeated([s[4] for s in segs], window) if segs else []):
-            if copies == 1:
-                out += [(doc_id, rh, start + a, start + b - 1 + window) for a, b in _spans(flags)]
-        yield _table(out, ["doc_id", "rh", "start", "end"], [_L] * 4)
+                if size >= sort_bytes and gram != last:
+                    out += found(list(held.values()))
+                    held, size = {}, 0
+                if (gram, digest) not in held:
+                    held[gram, digest] = doc_id, rh, start, copies, text
+                    size += len(text)
+                last = gram
+            yield _table(out, ["doc_id", "rh", "start", "end"], [_L] * 4)
+        yield _table(list(found(list(held.values()))) if held else [], ["doc_id", "rh", "start", "end"], [_L] * 4)
 
     return segments.select("gram", "digest", "doc_id", "rh", "start", "copies", "bytes").mapInArrow(run, COVER)
 
 
 def _counted_covers(segments: DataFrame, window: int, total: int) -> DataFrame:
-    """The same for k-grams with very many runs, by equal windows."""
+    """The same for k-grams with very many runs, by equal windows: their 128-bit hashes."""
     import xxhash
 
     def run(batches):
@@ -271,47 +305,54 @@ def _counted_covers(segments: DataFrame, window: int, total: int) -> DataFrame:
             out = []
             for gram, doc_id, rh, start, copies, text in zip(*(c.to_pylist() for c in batch.columns)):
                 for i in range(len(text) - window + 1):
-                    key = xxhash.xxh3_64_intdigest(text[i : i + window], gram & 0xFFFFFFFFFFFFFFFF)
-                    out.append((key - (1 << 64) if key >> 63 else key, doc_id, rh, start + i, copies))
-            yield _table(out, ["w", "doc_id", "rh", "start", "copies"], [_L] * 5)
+                    w, v = np.frombuffer(xxhash.xxh3_128_digest(text[i : i + window], gram & 0xFFFFFFFFFFFFFFFF), np.int64).tolist()
+                    out.append((w, v, doc_id, rh, start + i, copies))
+            yield _table(out, ["w", "v", "doc_id", "rh", "start", "copies"], [_L] * 6)
 
-    windows = segments.select("gram", "doc_id", "rh", "start", "copies", "bytes").mapInArrow(run, "w long, doc_id long, rh long, start long, copies long")
+    windows = segments.select("gram", "doc_id", "rh", "start", "copies", "bytes").mapInArrow(run, "w long, v long, doc_id long, rh long, start long, copies long")
     windows = materialize(windows, "windows")
-    often = windows.groupBy("w").agg(F.sum("copies").alias("times"), F.count("*").alias("n")).where("times > 1")
-    return lookup(windows.where("copies = 1"), often, "w", "n", total).select("doc_id", "rh", "start", (F.col("start") + window).alias("end"))
+    often = windows.groupBy("w", "v").agg(F.sum("copies").alias("times"), F.count("*").alias("n")).where("times > 1")
+    return lookup(windows.where("copies = 1"), often, ["w", "v"], "n", total).select("doc_id", "rh", "start", (F.col("start") + window).alias("end"))
 
 
 def covers(rows: DataFrame, window: int, sort_bytes: int = SORT_BYTES, gram_bytes: int = GRAM_BYTES) -> DataFrame:
     """``(doc_id, rh, start, end)``: byte ranges whose union is what repeated windows cover. ``rows``: doc_id, rh, text."""
-    found = materialize(_find_runs(rows, window), "runs")
-    own = found.where("gram IS NULL").select("doc_id", "rh", "start", F.col("digest").alias("end"))
-    found = found.where("gram IS NOT NULL")
+    random = {f"parquet.enable.dictionary#{c}": "false" for c in ("gram", "digest")}
+    found = materialize(_find_runs(rows, window), "runs", **random)
     total = found.count()
     grams = found.groupBy("gram").agg(F.count("*").alias("rows"), F.sum("copies").alias("times"), F.min("digest").alias("d0"), F.max("digest").alias("d1"))
-    shared = materialize(lookup(found, grams.where("times > 1"), "gram", "rows", total), "shared")
+    again = lookup(found, grams.where("times > 1 AND gram IS NOT NULL"), "gram", "rows", total)
+    # What a text repeats of itself has no gram.
+    own = found.where("gram IS NULL").select(*found.columns, *(F.lit(None).cast("long").alias(c) for c in ("rows", "times", "d0", "d1")))
+    shared = materialize(again.unionByName(own), "shared", **random)
+    drop(found)
+    own = shared.where("gram IS NULL").select("doc_id", "rh", "start", F.col("digest").alias("end"))
     alike = shared.where("d0 = d1")
     mixed = shared.where("d0 != d1")
     per_run = mixed.groupBy("gram", "digest").agg(F.sum("copies").alias("all_copies"), F.min(F.struct("doc_id", "rh", "start", "windows")).alias("one"))
-    per_run = materialize(per_run.select("gram", "digest", F.col("all_copies").alias("copies"), "one.*"), "mixed")
-    many = per_run.where("copies > 1").select("gram", "digest", F.xxhash64("gram", "digest").alias("run"))
-    sizes = per_run.where("copies > 1").select(F.xxhash64("gram", "digest").alias("run"), F.col("copies").alias("n"))
-    repeats = lookup(mixed.withColumn("run", F.xxhash64("gram", "digest")), sizes, "run", "n", total) if not many.isEmpty() else None
-    out = [own] + [x.select("doc_id", "rh", "start", F.expr(f"start + windows - 1 + {window}").alias("end")) for x in (alike, repeats) if x is not None]
-    size = F.sum(F.col("windows") + window)
-    heavy = per_run.groupBy("gram").agg(size.alias("size"))
-    text = materialize(_with_text(rows, per_run, window), "segments").dropDuplicates(["gram", "digest"])
+    per_run = materialize(per_run.select("gram", "digest", F.col("all_copies").alias("copies"), "one.*"), "mixed", **random)
+    many = per_run.where("copies > 1").select("gram", "digest", F.col("copies").alias("n"))
+    repeats = lookup(mixed, many, ["gram", "digest"], "n", total) if not many.isEmpty() else None
+    parts = [own] + [x.select("doc_id", "rh", "start", F.expr(f"start + windows - 1 + {window}").alias("end")) for x in (alike, repeats) if x is not None]
+    heavy = per_run.groupBy("gram").agg(F.sum(F.col("windows") + window).alias("size"))
     volume, largest = heavy.agg(F.sum("size"), F.max("size")).first()
+    segments = None
     if volume:
-        parts = max(1, math.ceil(volume / sort_bytes))
+        segments = materialize(_with_text(rows, per_run, window), "segments", **random)
+        text = segments
         if largest > gram_bytes:
-            hot = heavy.where(F.col("size") > gram_bytes).select("gram")  # joined by shuffle or, if AQE finds it small, by broadcast
-            out.append(_counted_covers(text.join(hot, "gram", "left_semi"), window, total))
+            hot = materialize(heavy.where(F.col("size") > gram_bytes).select("gram"), "heavy")  # joined by shuffle or, if AQE finds it small, by broadcast
+            counted = text.join(hot, "gram", "left_semi").dropDuplicates(["gram", "digest"])
+            parts.append(_counted_covers(counted, window, total))
             text = text.join(hot, "gram", "left_anti")
-        out.append(_sorted_covers(text.repartition(parts, "gram"), window))
-    union = out[0]
-    for x in out[1:]:
+        tasks = max(1, math.ceil(volume / (SORTS * sort_bytes)))
+        parts.append(_sorted_covers(text.repartition(tasks, "gram").sortWithinPartitions("gram"), window, sort_bytes))
+    union = parts[0]
+    for x in parts[1:]:
         union = union.unionByName(x)
-    return union
+    out = materialize(union, "covers")
+    drop(shared, per_run, *([segments] if segments is not None else []))
+    return out
 
 
 def remove_repeats(docs: DataFrame, window: int = 200, keep_text: bool = False, **sizes: int) -> DataFrame:
