@@ -28,8 +28,8 @@ from .cluster import drop, lookup, materialize, row_hash, ship
 GRAM = 32
 #: Bytes of text that are sorted at once, and the most that one k-gram may bring there.
 SORT_BYTES, GRAM_BYTES = 2_000_000, 4_000_000
-#: Sorts that one task makes, one after the other.
-SORTS = 16
+#: Sorts that one task makes at most, one after the other; fewer while that leaves tasks idle.
+SORTS = 32
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 22
 
@@ -345,7 +345,8 @@ def covers(rows: DataFrame, window: int, sort_bytes: int = SORT_BYTES, gram_byte
             counted = text.join(hot, "gram", "left_semi").dropDuplicates(["gram", "digest"])
             parts.append(_counted_covers(counted, window, total))
             text = text.join(hot, "gram", "left_anti")
-        tasks = max(1, math.ceil(volume / (SORTS * sort_bytes)))
+        sorts = math.ceil(volume / sort_bytes)
+        tasks = max(math.ceil(sorts / SORTS), min(sorts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
         parts.append(_sorted_covers(text.repartition(tasks, "gram").sortWithinPartitions("gram"), window, sort_bytes))
     union = parts[0]
     for x in parts[1:]:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -12,6 +13,7 @@ import pytest
 import xxhash
 
 from matchloom.llm import bpe_dp, exact_dedup, licenses, line_dedup, packing, quality, queries, simhash, substring_dedup, suffix_dedup, token_counts, wordtokens
+from matchloom.llm.cluster import row_hash
 from matchloom.llm.components import connected_components
 
 TOKENIZER = queries.vocabulary()
@@ -344,16 +346,18 @@ def test_blocks_meet(spark):
 
 def test_substring_dedup(docs):
     rows = texts_of(docs)
-    units = [(i is None, i or 0, k, u, i, t) for i, t in rows for k, u in enumerate(substring_dedup.split_units(t or ""))]
+    hashes = {(r["doc_id"], r["text"]): r["h"] for r in docs.select("doc_id", "text", row_hash().alias("h")).collect()}
+    place = lambda i, t: (i is None, i or 0, hashes[i, t])
+    units = [(place(i, t), k, u) for i, t in rows for k, u in enumerate(substring_dedup.split_units(t or ""))]
     first = {}
-    for u in sorted(units, key=lambda u: u[:3]):
-        if d := substring_dedup.digest(u[3], 5):
-            first.setdefault(d, u[:3])
+    for u in sorted(units):
+        if d := substring_dedup.digest(u[2], 5):
+            first.setdefault(d, u[:2])
     expected = []
     for i, t in rows:
         us = substring_dedup.split_units(t or "")
         assert "".join(us) == (t or "")
-        gone = {k for k, u in enumerate(us) if (d := substring_dedup.digest(u, 5)) and first[d] != (i is None, i or 0, k)}
+        gone = {k for k, u in enumerate(us) if (d := substring_dedup.digest(u, 5)) and first[d] != (place(i, t), k)}
         kept, spans = substring_dedup.cut(us, gone)
         expected.append((i, len(us), len(gone), sum(b - a for a, b in spans), hashlib.sha256(kept.encode()).hexdigest()))
         left, at = "", 0
@@ -366,6 +370,22 @@ def test_substring_dedup(docs):
     same([hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in out.collect()], [e[4] for e in expected])
 
 
+def test_units_take_one_pass():
+    assert [substring_dedup.split_units(t) for t in ("", "a. b", "..  x!\n\n?", "a.b? \tc\n")] == [[], ["a. ", "b"], ["..  ", "x!\n", "\n", "?"], ["a.b? \t", "c\n"]]
+    began = time.perf_counter()
+    assert len(substring_dedup.split_units("." * 1_000_000)) == 1 and len(substring_dedup.split_units(".!? " * 250_000)) == 250_000
+    assert time.perf_counter() - began < 2
+
+
+def test_shared_doc_ids_lose_their_copies(spark):
+    """Different texts under one doc_id, or under none, share a unit: one of them keeps it."""
+    unit = "one two three four five six seven. "
+    for i in (1, None):
+        df = spark.createDataFrame([(i, unit + "Alpha"), (i, unit + "Beta"), (i, unit + "Beta")], "doc_id long, text string")
+        left = sorted(r["text"] for r in substring_dedup.dedup_substrings(df).collect())
+        assert left in (["Alpha", unit + "Beta", unit + "Beta"], ["Beta", "Beta", unit + "Alpha"])
+
+
 def test_short_units_of_repeated_passages(spark):
     verse = "".join(f"Go {w} now.\n" for w in ("red", "blue", "green", "black", "white", "brown"))
     han = "\u5929\u5730\u7384\u9ec4\u5b87\u5b99\u6d2a\u8352\u65e5\u6708\u76c8\u6603\n"
