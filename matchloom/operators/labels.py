@@ -12,41 +12,53 @@ from pyspark.sql import types as T
 from ..functions.text import clean_words, overlap, quality, truncate
 from .match import candidates, rank
 
-# Phrases of the label heuristic's two versions, by kind, separated by commas.
+# Phrases of the label heuristic's first version, by kind.
 PHRASES = {
-    "colors": "red,blue,black,white,green,yellow,orange,purple,pink,brown,grey,gray,navy,dark,light,tan,beige,maroon,olive,camouflage,camo,multicolor",
-    "brands": "nike,adidas,jansport,under armour,targus,head,musto,jack wolfskin,hello kitty,disney,scooby,strawberry shortcake,hedgren,majestic,texas instruments,casio,apple,samsung,sony,hp,dell",
-    "materials": "leather,fabric,canvas,nylon,denim,plastic,metal,wood,glass,rubber,cotton,polyester",
-    "features": "backpack,bag,satchel,messenger,hiking,laptop,zippered,compartment,pocket,strap,buckle,flap,wallet,book,calculator,mouse,earphones,headphones,glasses,sunglasses,keys,keychain,water bottle,bottle,id card,card",
-    "sizes": "small,large,medium,big,compact,mini",
+    "colors": ("red", "blue", "black", "white", "green", "yellow", "orange", "purple", "pink", "brown", "grey", "gray", "navy", "dark", "light", "tan", "beige", "maroon", "olive", "camouflage", "camo", "multicolor"),
+    "brands": ("nike", "adidas", "jansport", "under armour", "targus", "head", "musto", "jack wolfskin", "hello kitty", "disney", "scooby", "strawberry shortcake", "hedgren", "majestic", "texas instruments", "casio", "apple", "samsung", "sony", "hp", "dell"),
+    "materials": ("leather", "fabric", "canvas", "nylon", "denim", "plastic", "metal", "wood", "glass", "rubber", "cotton", "polyester"),
+    "features": ("backpack", "bag", "satchel", "messenger", "hiking", "laptop", "zippered", "compartment", "pocket", "strap", "buckle", "flap", "wallet", "book", "calculator", "mouse", "earphones", "headphones", "glasses", "sunglasses", "keys", "keychain", "water bottle", "bottle", "id card", "card"),
+    "sizes": ("small", "large", "medium", "big", "compact", "mini"),
 }
+# Phrases of its second version, by kind.
 PHRASES_2 = {
-    "colors": "red,blue,black,white,green,yellow,orange,purple,pink,brown,grey,gray,navy,dark,light,tan,beige,maroon,olive",
-    "brands": "nike,adidas,jansport,under armour,targus,head,musto,jack wolfskin,hello kitty,disney",
-    "materials": "leather,fabric,canvas,nylon,denim",
-    "features": "backpack,bag,satchel,messenger,hiking,laptop,zippered,compartment,pocket,strap",
+    "colors": ("red", "blue", "black", "white", "green", "yellow", "orange", "purple", "pink", "brown", "grey", "gray", "navy", "dark", "light", "tan", "beige", "maroon", "olive"),
+    "brands": ("nike", "adidas", "jansport", "under armour", "targus", "head", "musto", "jack wolfskin", "hello kitty", "disney"),
+    "materials": ("leather", "fabric", "canvas", "nylon", "denim"),
+    "features": ("backpack", "bag", "satchel", "messenger", "hiking", "laptop", "zippered", "compartment", "pocket", "strap"),
 }
 
 
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity; it depends on the order of its operands."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
+    """Ratcliff-Obershelp similarity; it depends on the order of its operands. Equal pairs of a batch are compared once."""
+    known: dict[tuple, float] = {}
+    out = []
+    for pair in zip(a, b):
+        if pair not in known:
+            known[pair] = difflib.SequenceMatcher(None, pair[0] or "", pair[1] or "").ratio()
+        out.append(known[pair])
+    return pd.Series(out, dtype="float64")
 
 
-def phrases(text: Column, kind: str, lists: dict[str, str] = PHRASES) -> Column:
+def phrases(text: Column, kind: str, lists: dict[str, tuple[str, ...]] = PHRASES) -> Column:
     """Phrases of a kind that occur anywhere in the text, also inside words."""
-    return F.filter(F.array(*map(F.lit, lists[kind].split(","))), lambda k: F.instr(text, k) > 0)
+    return F.filter(F.array(*map(F.lit, lists[kind])), lambda k: F.instr(text, k) > 0)
 
 
-def score(version: int = 1) -> Column:
-    """Score of lost_description and found_description under equal categories; 0 if either is missing."""
-    a, b = clean_words(F.col("lost_description")), clean_words(F.col("found_description"))
-    text = sequence_ratio(a, b)
+def with_phrases(items: DataFrame, version: int = 1) -> DataFrame:
+    """``items`` with ``cleaned`` and ``phrases`` of the description, once per item; null without one."""
     lists = PHRASES if version == 1 else PHRASES_2
-    part = {k: (phrases(a, k, lists), phrases(b, k, lists)) for k in lists}
-    share = lambda k: overlap(*part[k])
-    any_ = lambda k, v: F.when(F.size(F.array_intersect(*part[k])) > 0, v).otherwise(0.0)
+    cleaned = items.withColumn("cleaned", F.when(F.col("description").isNotNull(), clean_words(F.col("description"))))
+    return cleaned.withColumn("phrases", F.struct(*(phrases(F.col("cleaned"), k, lists).alias(k) for k in lists)))
+
+
+def score(version: int = 1) -> Column:
+    """Score of a pair of :func:`with_phrases` items under equal categories; 0 if either has no description."""
+    text = sequence_ratio(F.col("lost_cleaned"), F.col("found_cleaned"))
+    part = lambda k: (F.col(f"lost_phrases.{k}"), F.col(f"found_phrases.{k}"))
+    share = lambda k: overlap(*part(k))
+    any_ = lambda k, v: F.when(F.size(F.array_intersect(*part(k))) > 0, v).otherwise(0.0)
     if version == 1:
         s = 0.25 * text + 0.25 * share("colors") + 0.25 * any_("brands", 1.0) + 0.10 * share("materials") + 0.10 * share("features") + 0.05 * any_("sizes", 0.5)
         s = F.least(F.lit(1.0), F.greatest(F.lit(0.0), s + F.when(text > 0.7, 0.1).otherwise(0.0)))
@@ -55,11 +67,19 @@ def score(version: int = 1) -> Column:
     return F.when(F.col("lost_description").isNull() | F.col("found_description").isNull(), 0.0).otherwise(s)
 
 
-def ground_truth(items: DataFrame, version: int = 1, minimum: float = 0.35) -> DataFrame:
-    """The best found item per labelled lost item; the first by id wins ties, scores of 0 never match."""
-    pairs = candidates(items.where("labelled").drop("image"))
-    best = rank(pairs.withColumn("similarity", score(version)), 1).where((F.col("similarity") > 0) & (F.col("similarity") >= minimum))
+def ground_truth(items: DataFrame, version: int = 1, minimum: float | None = None) -> DataFrame:
+    """The best found item per lost item; the first by id wins ties, scores of 0 never match.
+
+    Version 1 takes labelled items, 0.35 as the least score, and shortens long descriptions; version 2 takes all items, 0.75,
+    and cuts every description to 80 characters.
+    """
+    least = minimum if minimum is not None else 0.35 if version == 1 else 0.75
+    rows = items.where("labelled") if version == 1 else items
+    use = ["id", "category", "status", "description"]
+    pairs = candidates(with_phrases(rows.select(*use), version))
+    best = rank(pairs.withColumn("similarity", score(version)), 1).where((F.col("similarity") > 0) & (F.col("similarity") >= least))
+    short = lambda c: truncate(F.col(c)) if version == 1 else truncate(F.col(c), 80, True)
     return best.select(
         "lost_id", "found_id", F.round("similarity", 3).alias("confidence"), F.col("lost_category").alias("category"),
-        truncate(F.col("lost_description")).alias("lost_desc"), truncate(F.col("found_description")).alias("found_desc"), quality(F.col("similarity")).alias("quality"),
+        short("lost_description").alias("lost_desc"), short("found_description").alias("found_desc"), quality(F.col("similarity")).alias("quality"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .blocks import best_k, similarities
 
 
 def side(items: DataFrame, status: str, prefix: str) -> DataFrame:
@@ -24,7 +25,9 @@ def candidates(items: DataFrame, category: bool = True, temporal: bool = False)
     if category:
         on.append(lost.lost_category.eqNullSafe(found.found_category))
     if temporal:
-        on.append(F.coalesce(found.found_ts >= lost.lost_ts, F.lit(True)))
+        later = F.coalesce(found.found_ts >= lost.lost_ts, F.lit(True))
+        # Times with and without an offset can't be compared, so such a pair is valid.
+        on.append(~lost.lost_zoned.eqNullSafe(found.found_zoned) | later if "zoned" in items.columns else later)
     if not on:
         return lost.crossJoin(found)
     cond = on[0] if len(on) == 1 else on[0] & on[1]
@@ -56,21 +59,25 @@ def top_k(scored: DataFrame, k: int | None = None, default: int = 5, minimum: fl
     return out if minimum is None else out.where(F.coalesce(F.col(by), F.lit(0.0)) >= minimum)
 
 
-def image_matches(items: DataFrame, k: int | None = 5, minimum: float | None = None, temporal: bool = False, category: bool = True) -> DataFrame:
-    """(lost_id, found_id, similarity, rank) by cosine of the image vectors; every rank if ``k`` is None."""
-    pairs = candidates(with_units(items.select("id", "category", "status", "ts", "image")), category, temporal)
-    score = F.coalesce(V.dot(F.col("lost_image"), F.col("found_image")), F.lit(0.0))
-    scored = pairs.select("lost_id", "found_id", score.alias("similarity"))
+def image_matches(items: DataFrame, k: int | None = 5, minimum: float | None = None, temporal: bool = False, category: bool = True, last_first: bool = False) -> DataFrame:
+    """(lost_id, found_id, similarity, rank) by cosine of the image vectors; every rank if ``k`` is None. Ties as in :func:`.blocks.best_k`."""
     if k is None:
-        every = rank(scored, None)
-        return every if minimum is None else every.where(F.col("similarity") >= minimum)
-    return top_k(scored, k, minimum=minimum)
+        pairs = candidates(with_units(items.select("id", "category", "status", "ts", "image")), category, temporal)
+        scored = pairs.select("lost_id", "found_id", F.coalesce(V.dot(F.col("lost_image"), F.col("found_image")), F.lit(0.0)).alias("similarity"))
+        out = rank(scored, None)
+    else:
+        use = ["id", "category", "ts", "image"] if temporal else ["id", "category", "image"]
+        of = lambda status: items.where(F.col("status") == status).select(*use)
+        cosine = lambda a, b: {"similarity": similarities(a["image"], b["image"])}
+        out = best_k(of("lost"), of("found"), cosine, k or 5, "category" if category else None, temporal, last_first)
+    return out if minimum is None else out.where(F.col("similarity") >= minimum)
 
 
 def lookup_metadata(matches: DataFrame, items: DataFrame, keep_unknown: bool = True) -> DataFrame:
-    """Matches with the found item's category and description."""
+    """Matches with the found item's category ("unknown" without metadata) and description."""
     meta = items.select(F.col("id").alias("found_id"), F.col("category").alias("found_category"), F.col("description").alias("found_description"))
-    return matches.join(meta, "found_id", "left" if keep_unknown else "inner")
+    out = matches.join(meta, "found_id", "left" if keep_unknown else "inner")
+    return out.withColumn("found_category", F.coalesce(F.col("found_category").cast("string"), F.lit("unknown")))
 
 
 def page(df: DataFrame, order: str, number: int, size: int) -> DataFrame:

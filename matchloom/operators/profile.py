@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evaluate import quantiles
+
 
 def null_counts(df: DataFrame) -> DataFrame:
     return df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in df.columns))
@@ -24,18 +26,27 @@ def pivot_counts(df: DataFrame, by: str, col: str, values: list[str]) -> DataFra
 def describe(df: DataFrame, col: Column, by: list[str] | None = None) -> DataFrame:
     """count, mean, sample deviation, min, quartiles, max."""
     rows = df.select(*(by or []), col.alias("x"))
-    return (rows.groupBy(*by) if by else rows).agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.percentile("x", 0.25).alias("q25"),
-        F.percentile("x", 0.5).alias("q50"), F.percentile("x", 0.75).alias("q75"), F.max("x").alias("max"),
-    )
+    plain = [F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max")]
+    quartiles = quantiles(rows, "x", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, by or [])
+    out = rows.groupBy(*by).agg(*plain).join(quartiles, by) if by else rows.agg(*plain).crossJoin(quartiles)  # one row each without groups
+    return out.select(*(by or []), "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
-    """(bin, n) for bins of equal width from 0, the last closed; empty bins are absent."""
-    ends = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
-    b = F.least(F.floor((F.col(col) - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))
-    return df.crossJoin(F.broadcast(ends)).select(F.when(F.col("hi") == F.col("lo"), 0).otherwise(b).cast("long").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))  # one row
+    """(bin, low, high, n) for ``bins`` bins of equal width from 0, the last closed; empty ones too. Nulls don't count."""
+    rows = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("x"))
+    ends = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    b = F.least(F.floor((F.col("x") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))
+    counts = rows.crossJoin(F.broadcast(ends)).select(F.when(F.col("hi") == F.col("lo"), 0).otherwise(b).cast("long").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))  # one row
+    every = ends.where("lo IS NOT NULL").select("lo", "hi", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    return every.join(counts, "bin", "left").select("bin", (F.col("lo") + F.col("bin") * width).alias("low"), (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def mean_size(images: DataFrame, by: str = "category") -> DataFrame:
+    """Mean width and height of images per group."""
+    return images.groupBy(by).agg(F.avg("width").alias("mean_width"), F.avg("height").alias("mean_height"))
 
 
 def sample_per_group(df: DataFrame, by: str, n: int, seed: int = 42) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), "id")))).where(F.col("_r") <= n).drop("_r")
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("id").cast("string")))))).where(F.col("_r") <= n).drop("_r")

@@ -45,3 +45,18 @@ class TfIdf:
 
     def top_terms(self, n: int) -> DataFrame:
         return self.vocabulary.orderBy("term").limit(n).select("term")
+
+    def save(self, path: str) -> None:
+        if self.vocabulary is None:
+            raise ValueError("fit the vectorizer first")
+        self.vocabulary.coalesce(1).write.mode("overwrite").parquet(f"{path}/vocabulary")
+        kept = [(self.max_features, self.min_df, self.max_df, self.stop)]
+        self.vocabulary.sparkSession.createDataFrame(kept, self._SCHEMA).coalesce(1).write.mode("overwrite").json(f"{path}/settings")
+
+    _SCHEMA = "max_features int, min_df int, max_df double, stop array<string>"
+
+    @classmethod
+    def load(cls, spark, path: str) -> TfIdf:
+        out = cls(*spark.read.schema(cls._SCHEMA).json(f"{path}/settings").first())
+        out.vocabulary = spark.read.parquet(f"{path}/vocabulary")
+        return out

@@ -13,7 +13,8 @@ from ..operators import evaluate as E
 from ..operators import match as M
 from ..operators import profile as P
 from ..operators.knn import KnnMatcher
-from ..operators.labels import PHRASES, ground_truth, phrases, score, sequence_ratio
+from ..operators.labels import PHRASES, ground_truth, phrases, score, sequence_ratio, with_phrases
+from ..operators.matching import Matcher, browse, category_guard, find_matches, matches_for, pages, with_text_vectors
 from ..operators.pairs import PairClassifier, training_pairs
 from ..operators.tfidf import TfIdf
 from ..sources import sinks
@@ -76,6 +77,40 @@ def lit_list(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
+KEYS_SQL = {k: f"list_sort(list_intersect(string_split(coalesce(X, ''), ' '), {lit_list(v)}))" for k, v in T.KEYWORDS.items()}
+
+
+def keyword_numbers_sql() -> list[str]:
+    x = {k: v.replace("X", "description") for k, v in KEYS_SQL.items()}
+    parts = [p for v in x.values() for p in (f"CAST(len({v}) > 0 AS INT)", f"len({v})")]
+    return parts + [f"CAST(list_contains({x[k]}, '{w}') AS INT)" for k, names in T.ONE_HOT.items() for w in names]
+
+
+#: Terms of two words at most; the part names have no stop words. Descriptions are plain words, so splitting them is enough.
+TFIDF_SQL = r""", tok AS (SELECT id, regexp_extract_all(lower(description), '\b\w\w+\b') AS w FROM items WHERE description IS NOT NULL),
+tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS term FROM tok) GROUP BY ALL),
+voc AS (SELECT term, row_number() OVER (ORDER BY term) AS place, ln((1.0 + n) / (1 + df)) + 1 AS idf FROM (
+  SELECT term, count(*) AS df, sum(tf) AS cf, any_value(n) AS n FROM tf, (SELECT count(*) AS n FROM tok) GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.8 * any_value(n) ORDER BY cf DESC, term LIMIT 100)),
+wt AS (SELECT id, place, (1 + ln(tf)) * idf AS w FROM tf JOIN voc USING (term)), nm AS (SELECT id, sqrt(sum(w * w)) AS norm FROM wt GROUP BY id),
+tfidf AS (SELECT i.id, list(coalesce(wt.w / nm.norm, 0) ORDER BY p.place) AS tfidf FROM items i CROSS JOIN (SELECT unnest(range(1, 101)) AS place) p LEFT JOIN wt ON wt.id = i.id AND wt.place = p.place LEFT JOIN nm ON nm.id = i.id GROUP BY i.id)"""
+TEXT_SQL = (
+    TFIDF_SQL
+    + r""", stats AS (SELECT id, CAST([length(d), len(w), CASE WHEN len(w) > 0 THEN list_sum([length(x) FOR x IN w]) / len(w) ELSE 0 END, len([x FOR x IN w IF length(x) > 6]), len(regexp_extract_all(d, '\p{Nd}')),
+  len(regexp_extract_all(d, '\p{Lu}')), len(regexp_extract_all(d, '[!?]')), CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 0 END] AS DOUBLE[]) AS s
+  FROM (SELECT id, coalesce(description, '') AS d, [x FOR x IN string_split(coalesce(description, ''), ' ') IF x <> ''] AS w FROM items)),
+tv AS (SELECT i.id, CASE WHEN coalesce(description, '') = '' THEN [0.0::DOUBLE FOR x IN range(126)] ELSE list_concat(s, CAST(["""
+    + ", ".join(keyword_numbers_sql())
+    + """] AS DOUBLE[]), tfidf) END AS text FROM items i JOIN stats USING (id) JOIN tfidf USING (id)),
+both_scores AS (SELECT b.*, list_cosine_similarity(li, fi) AS i, CASE WHEN list_dot_product(l.text, l.text) = 0 OR list_dot_product(f.text, f.text) = 0 THEN 0 ELSE list_cosine_similarity(l.text, f.text) END AS t
+  FROM blocked b JOIN tv l ON l.id = b.lost_id JOIN tv f ON f.id = b.found_id)"""
+)
+
+
+def text_items(s, d):
+    it = items(s, d)
+    return with_text_vectors(it, TfIdf().fit(it.select("id", "description").where("description IS NOT NULL")))
+
+
 # --- sources, projections, filters -------------------------------------------------------------------------------
 
 
@@ -84,11 +119,15 @@ def src1(s, d):
     return items(s, d).select("id", "category", "status", "description", "labelled")
 
 
-@query("snk3_flt9_feature_summary", """SELECT id, category, status, description IS NOT NULL AS has_description, image IS NOT NULL AS has_image_features, description IS NOT NULL AS has_text_features,
-  CAST(coalesce(len(image), 0) AS INT) AS image_feature_dim, CAST(CASE WHEN description IS NULL THEN 0 ELSE 26 END AS INT) AS text_feature_dim FROM items""")
+@query("snk3_flt9_feature_summary", """SELECT id, category, status, description IS NOT NULL AS has_description, image IS NOT NULL AS has_image_features, true AS has_text_features,
+  CAST(coalesce(len(image), 0) AS INT) AS image_feature_dim, CAST(126 AS INT) AS text_feature_dim FROM items""")
 def flt9(s, d):
-    text = F.when(F.col("description").isNotNull(), F.concat(T.statistics(F.col("description")), T.keyword_vector(F.col("description"))))
-    return sinks.feature_summary(items(s, d).withColumn("text", text))
+    return sinks.feature_summary(text_items(s, d))
+
+
+@query("flt8_category_guard", "SELECT (SELECT count(*) FROM lost WHERE category IS NOT NULL) > 0 AND (SELECT count(*) FROM found WHERE category IS NOT NULL) > 0 AS filters")
+def flt8(s, d):
+    return s.range(1).select(F.lit(category_guard(items(s, d).select("status", "category"))).alias("filters"))
 
 
 @query("flt1_flt2_status_labelled", "SELECT id, status FROM items WHERE status = 'lost' AND labelled")
@@ -136,7 +175,12 @@ def prj2(s, d):
     return M.candidates(items(s, d)).select("lost_id", "found_id", F.size(v).alias("width"), r6(V.total(v), "total"))
 
 
-@query("prj3_txt14_truncate", "SELECT doc_id, CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END AS short, substring(text, 1, 80) || '...' AS always FROM documents", False)
+@query("txt14_date_prefix", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events", False)
+def txt14(s, d):
+    return table(s, d, "events").select("event_id", T.date_prefix(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("day"))
+
+
+@query("prj3_truncate", "SELECT doc_id, CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END AS short, substring(text, 1, 80) || '...' AS always FROM documents", False)
 def prj3(s, d):
     return table(s, d, "documents").select("doc_id", T.truncate(F.col("text")).alias("short"), T.truncate(F.col("text"), 80, True).alias("always"))
 
@@ -149,7 +193,12 @@ def prj4(s, d):
     return table(s, d, "events").select("event_id", T.confidence(v).alias("long_label"), T.confidence_short(v).alias("short_label"), T.quality(v).alias("quality"))
 
 
-@query("prj7_prj8_fallback", "SELECT event_id, round(CASE WHEN event_id % 3 = 0 THEN value ELSE CASE WHEN event_id % 3 = 1 AND value <> 0 THEN value / 2 ELSE value END END, 6) AS score FROM events", False)
+@query("prj8_round", "SELECT event_id, round(value, 3) AS rounded FROM events", False)
+def prj8(s, d):
+    return table(s, d, "events").select("event_id", F.round("value", 3).alias("rounded"))
+
+
+@query("prj7_fallback", "SELECT event_id, round(CASE WHEN event_id % 3 = 0 THEN value ELSE CASE WHEN event_id % 3 = 1 AND value <> 0 THEN value / 2 ELSE value END END, 6) AS score FROM events", False)
 def prj7(s, d):
     third = F.col("event_id") % 3
     sim = F.when(third == 0, F.lit(0.0)).when(third == 1, F.col("value") / 2)
@@ -161,7 +210,8 @@ def prj7(s, d):
 
 @query("jn1_all_pairs_count", "SELECT (SELECT count(*) FROM lost) * (SELECT count(*) FROM found) AS pairs")
 def jn1(s, d):
-    return M.candidates(items(s, d).select("id", "category", "status", "ts"), category=False).agg(F.count("*").alias("pairs"))
+    n = lambda side: F.count_if(F.col("status") == side)
+    return items(s, d).agg((n("lost") * n("found")).alias("pairs"))
 
 
 @query("jn2_blocked_pairs", "SELECT lost_id, found_id FROM blocked")
@@ -181,10 +231,74 @@ def jn4(s, d):
     return M.image_matches(one).select("found_id", "rank", r6("similarity", "similarity"))
 
 
-@query("jn5_jn6_jn8_metadata", "SELECT m.lost_id, m.found_id, coalesce(i.description, 'unknown') AS description FROM matched m LEFT JOIN items i ON i.id = m.found_id")
+@query("api6_new_found_item", f"""{TEXT_SQL} SELECT lost_id, CAST(rank AS INT) AS rank, round(c, 6) AS similarity FROM (
+  SELECT lost_id, c, row_number() OVER (ORDER BY c DESC, lost_id) AS rank FROM (SELECT lost_id, 0.6 * i + 0.4 * t AS c FROM both_scores WHERE found_id = 11)) WHERE rank <= 5 AND c >= 0.3""")
+def api6_found(s, d):
+    """A new found item against all lost ones."""
+    it = text_items(s, d)
+    return find_matches(it.where("id = 11"), it, "found").select("lost_id", "rank", r6("similarity", "similarity"))
+
+
+@query("api6_new_lost_item", f"""{TEXT_SQL} SELECT found_id, CAST(rank AS INT) AS rank, round(c, 6) AS similarity, CAST(category AS VARCHAR) AS found_category, fd AS found_description FROM (
+  SELECT found_id, category, fd, c, row_number() OVER (ORDER BY c DESC, found_id) AS rank FROM (SELECT found_id, category, fd, 0.6 * i + 0.4 * t AS c FROM both_scores WHERE lost_id = 10)) WHERE rank <= 5 AND c >= 0.3""")
+def api6_lost(s, d):
+    it = text_items(s, d)
+    return find_matches(it.where("id = 10"), it, "lost").select("found_id", "rank", r6("similarity", "similarity"), "found_category", "found_description")
+
+
+@query("api7_matches_of_item", "SELECT found_id, CAST(rank AS INT) AS rank FROM matched WHERE lost_id = 20")
+def api7(s, d):
+    return matches_for(top5(s, d, minimum=0.1), 20).select("found_id", "rank")
+
+
+@query("api8_browse", "SELECT m.lost_id, m.found_id, CAST(m.rank AS INT) AS rank FROM matched m WHERE m.category = 4 AND m.similarity >= 0.15")
+def api8(s, d):
+    it = items(s, d)
+    return browse(it, M.image_matches(it, 5, 0.1), category=4, minimum=0.15).select("lost_id", "found_id", "rank")
+
+
+@query("api3_api4_combined_matches", f"""{TEXT_SQL} SELECT lost_id, found_id, CAST(rank AS INT) AS rank, round(c, 6) AS similarity, round(i, 6) AS image_similarity, round(t, 6) AS text_similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY lost_id ORDER BY c DESC, found_id) AS rank FROM (SELECT *, 0.6 * i + 0.4 * t AS c FROM both_scores)) WHERE rank <= 5 AND c >= 0.3""")
+def api4(s, d):
+    out = Matcher().run(text_items(s, d))
+    return out.select("lost_id", "found_id", "rank", *(r6(c, c) for c in ("similarity", "image_similarity", "text_similarity")))
+
+
+@query("api1_api2_slow_matches", f"""{TEXT_SQL} SELECT lost_id, found_id, CAST(rank AS INT) AS rank, round(c, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY lost_id ORDER BY c DESC, found_id) AS rank FROM (
+    SELECT *, CASE WHEN e = 0 AND t > 0 THEN t WHEN t = 0 AND e > 0 THEN e ELSE 0.5 * e + 0.5 * t END AS c FROM (
+      SELECT *, greatest(0, 1 - list_distance([x / sqrt(list_dot_product(li, li)) FOR x IN li], [x / sqrt(list_dot_product(fi, fi)) FOR x IN fi]) / 2) AS e FROM both_scores WHERE fts >= lts))) WHERE rank <= 3 AND c >= 0.5""")
+def api4_slow(s, d):
+    out = Matcher("slow", 0.5, 0.5, 3, 0.5, image_method="normalized_euclidean").run(text_items(s, d))
+    return out.select("lost_id", "found_id", "rank", r6("similarity", "similarity"))
+
+
+@query("sim6_top2_image_only", """SELECT lost_id, found_id, CAST(rank AS INT) AS rank, round(e, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY lost_id ORDER BY e DESC, found_id) AS rank FROM (
+  SELECT lost_id, found_id, 1 / (1 + list_distance(li, fi)) AS e FROM blocked)) WHERE rank <= 5 AND e >= 0.3""")
+def sim6(s, d):
+    """Without text vectors the image alone counts; a k of 0 stands for the default."""
+    return Matcher(top_k=0, image_method="euclidean").run(items(s, d)).select("lost_id", "found_id", "rank", r6("similarity", "similarity"))
+
+
+@query("jn5_metadata", "SELECT m.lost_id, m.found_id, i.description FROM matched m LEFT JOIN items i ON i.id = m.found_id")
 def jn5(s, d):
-    out = M.lookup_metadata(top5(s, d, minimum=0.1), items(s, d))
-    return out.select("lost_id", "found_id", F.coalesce("found_description", F.lit("unknown")).alias("description"))
+    return M.lookup_metadata(top5(s, d, minimum=0.1), items(s, d)).select("lost_id", "found_id", F.col("found_description").alias("description"))
+
+
+@query("jn6_known_only", "SELECT m.lost_id, m.found_id FROM matched m JOIN items i ON i.id = m.found_id WHERE i.id % 3 <> 0")
+def jn6(s, d):
+    return M.lookup_metadata(top5(s, d, minimum=0.1), items(s, d).where("id % 3 <> 0"), keep_unknown=False).select("lost_id", "found_id")
+
+
+@query("jn8_unknown_category", "SELECT m.lost_id, m.found_id, CASE WHEN m.found_id % 3 <> 0 THEN CAST(i.category AS VARCHAR) ELSE 'unknown' END AS category FROM matched m JOIN items i ON i.id = m.found_id")
+def jn8(s, d):
+    return M.lookup_metadata(top5(s, d, minimum=0.1), items(s, d).where("id % 3 <> 0")).select("lost_id", "found_id", F.col("found_category").alias("category"))
+
+
+@query("jn7_searched_only", "SELECT p.lost_id, CAST(p.pos AS INT) AS pos FROM pos p WHERE EXISTS (SELECT 1 FROM matched m WHERE m.lost_id = p.lost_id)")
+def jn7_searched(s, d):
+    """Right answers of items outside the matched set don't count."""
+    return E.positions(top5(s, d), truth(s, d), top5(s, d, minimum=0.1).select("lost_id"))
 
 
 @query("jn7_truth_positions", "SELECT lost_id, CAST(pos AS INT) AS pos FROM pos")
@@ -200,9 +314,6 @@ def sim1(s, d):
     return pairs.select("lost_id", "found_id", r6(V.similarity("cosine", a, b), "cosine"), r6(V.similarity("euclidean", a, b), "euclidean"), r6(V.similarity("normalized_euclidean", a, b), "normalized"))
 
 
-KEYS_SQL = {k: f"list_sort(list_intersect(string_split(coalesce(X, ''), ' '), {lit_list(T.words_of(v))}))" for k, v in T.KEYWORDS.items()}
-
-
 def jaccard_sql(a: str, b: str) -> str:
     return f"CASE WHEN len(list_distinct(list_concat({a}, {b}))) > 0 THEN len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) ELSE 0 END"
 
@@ -213,8 +324,9 @@ MEAN_JACCARD = "(" + " + ".join(jaccard_sql(k.replace("X", "ld"), k.replace("X",
 @query("sim5_sim6_combined", f"""SELECT lost_id, found_id, round(CASE WHEN i = 0 AND t > 0 THEN t WHEN t = 0 AND i > 0 THEN i ELSE 0.6 * i + 0.4 * t END, 6) AS slow, round(0.6 * i + 0.4 * t, 6) AS fast
 FROM (SELECT lost_id, found_id, list_cosine_similarity(li, fi) AS i, {MEAN_JACCARD} AS t FROM blocked)""")
 def sim5(s, d):
-    i = V.cosine(F.col("lost_image"), F.col("found_image"))
-    pairs = M.candidates(items(s, d)).select("lost_id", "found_id", i.alias("i"), T.keyword_similarity(F.col("lost_description"), F.col("found_description")).alias("t"))
+    it = M.with_units(items(s, d)).withColumn("words", T.keyword_sets(F.col("description"))).select("id", "category", "status", "image", "words")
+    i, t = V.dot(F.col("lost_image"), F.col("found_image")), T.keyword_similarity(F.col("lost_words"), F.col("found_words"))
+    pairs = M.candidates(it).select("lost_id", "found_id", i.alias("i"), t.alias("t"))
     return pairs.select("lost_id", "found_id", r6(V.combined(F.col("i"), F.col("t")), "slow"), r6(V.combined(F.col("i"), F.col("t"), fallback=False), "fast"))
 
 
@@ -224,9 +336,10 @@ def sim7(s, d):
     return pairs.select("lost_id", "found_id", r6(V.dot(F.col("lost_image"), F.col("found_image")), "similarity"))
 
 
-@query("sim8_txt13_keyword_jaccard", f"SELECT lost_id, found_id, round({MEAN_JACCARD}, 6) AS similarity FROM blocked")
+@query("sim8_keyword_jaccard", f"SELECT lost_id, found_id, round({MEAN_JACCARD}, 6) AS similarity FROM blocked")
 def sim8(s, d):
-    return text_pairs(s, d).select("lost_id", "found_id", r6(T.keyword_similarity(F.col("lost_description"), F.col("found_description")), "similarity"))
+    it = items(s, d).withColumn("words", T.keyword_sets(F.col("description"))).select("id", "category", "status", "words")
+    return M.candidates(it).select("lost_id", "found_id", r6(T.keyword_similarity(F.col("lost_words"), F.col("found_words")), "similarity"))
 
 
 @query("sim10_knn_metrics", """SELECT lost_id, found_id, round(1 / (2 - list_cosine_similarity(li, fi)), 6) AS cosine, round(1 / (1 + list_distance(li, fi)), 6) AS euclidean,
@@ -237,14 +350,14 @@ def sim10(s, d):
 
 
 def phrases_sql(x: str, kind: str) -> str:
-    return f"list_filter({lit_list(PHRASES[kind].split(','))}, lambda k: contains(coalesce({x}, ''), k))"
+    return f"list_filter({lit_list(PHRASES[kind])}, lambda k: contains(coalesce({x}, ''), k))"
 
 
 @query("sim11_overlap", f"""SELECT lost_id, found_id, round(CASE WHEN greatest(len(a), len(b)) > 0 THEN len(list_intersect(a, b)) / greatest(len(a), len(b)) ELSE 0 END, 6) AS colors
 FROM (SELECT lost_id, found_id, {phrases_sql('ld', 'colors')} AS a, {phrases_sql('fd', 'colors')} AS b FROM blocked)""")
 def sim11(s, d):
-    p = lambda c: phrases(T.clean_words(F.col(c)), "colors")
-    return text_pairs(s, d).select("lost_id", "found_id", r6(T.overlap(p("lost_description"), p("found_description")), "colors"))
+    it = items(s, d).withColumn("colors", phrases(T.clean_words(F.col("description")), "colors")).select("id", "category", "status", "colors")
+    return M.candidates(it).select("lost_id", "found_id", r6(T.overlap(F.col("lost_colors"), F.col("found_colors")), "colors"))
 
 
 # --- text --------------------------------------------------------------------------------------------------------
@@ -268,10 +381,7 @@ def txt3(s, d):
 
 
 def keyword_vector_sql() -> str:
-    x = {k: v.replace("X", "description") for k, v in KEYS_SQL.items()}
-    parts = [p for v in x.values() for p in (f"CAST(len({v}) > 0 AS INT)", f"len({v})")]
-    parts += [f"CAST(list_contains({x[k]}, '{w}') AS INT)" for k, names in T.ONE_HOT.items() for w in names.split()]
-    return "concat_ws(',', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + ")"
+    return "concat_ws(',', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in keyword_numbers_sql()) + ")"
 
 
 @query("txt4_keyword_vector", f"SELECT id, {keyword_vector_sql()} AS vector FROM items")
@@ -283,7 +393,7 @@ def txt4(s, d):
 @query("txt5_statistics", r"""SELECT doc_id, CAST(length(text) AS DOUBLE) AS n_chars, CAST(n AS DOUBLE) AS n_words, round(CASE WHEN n > 0 THEN list_sum([length(x) FOR x IN w]) / n ELSE 0 END, 6) AS mean_length,
   CAST(len([x FOR x IN w IF length(x) > 6]) AS DOUBLE) AS n_long, CAST(len(regexp_extract_all(text, '\p{Nd}')) AS DOUBLE) AS n_digits, CAST(len(regexp_extract_all(text, '\p{Lu}')) AS DOUBLE) AS n_upper,
   CAST(len(regexp_extract_all(text, '[!?]')) AS DOUBLE) AS n_marks, round(CASE WHEN n > 0 THEN len(list_distinct(w)) / n ELSE 0 END, 6) AS distinct_share
-FROM (SELECT doc_id, text, w, len(w) AS n FROM (SELECT doc_id, coalesce(text, '') AS text, [x FOR x IN string_split_regex(coalesce(text, ''), '\s+') IF x <> ''] AS w FROM documents))""", False)
+FROM (SELECT doc_id, text, w, len(w) AS n FROM (SELECT doc_id, coalesce(text, '') AS text, [x FOR x IN string_split_regex(coalesce(text, ''), '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+') IF x <> ''] AS w FROM documents))""", False)
 def txt5(s, d):
     v = T.statistics(F.col("text"))
     names = ["n_chars", "n_words", "mean_length", "n_long", "n_digits", "n_upper", "n_marks", "distinct_share"]
@@ -291,11 +401,12 @@ def txt5(s, d):
     return rows.select("doc_id", *(r6(F.col("v")[i], n) for i, n in enumerate(names)))
 
 
-@query("txt8_ngram_profile", """SELECT id, round(list_sum(list_slice(c, 1, 5)) / list_sum(list_slice(c, 1, 50)), 6) AS top5_share, CAST(50 AS INT) AS width FROM (
-  SELECT id, list(n ORDER BY n DESC) AS c FROM (SELECT id, substring(description, i + 1, 3) AS g, count(*) AS n FROM (SELECT id, description, unnest(range(length(description) - 2)) AS i FROM items WHERE description IS NOT NULL) GROUP BY ALL) GROUP BY id)""")
+@query("txt8_ngram_profile", """SELECT id, array_to_string([CAST(CAST(round(1e6 * x / list_sum(c)) AS BIGINT) AS VARCHAR) FOR x IN c], ',') AS profile, CAST(50 AS INT) AS width FROM (
+  SELECT id, list_slice(list(n ORDER BY n DESC), 1, 50) AS c FROM (SELECT id, substring(description, i + 1, 2) AS g, count(*) AS n FROM (SELECT id, description, unnest(range(length(description) - 1)) AS i FROM items WHERE description IS NOT NULL) GROUP BY ALL) GROUP BY id)""")
 def txt8(s, d):
     rows = items(s, d).where("description IS NOT NULL").select("id", T.ngram_profile(F.col("description")).alias("p"))
-    return rows.select("id", r6(V.total(F.slice("p", 1, 5)), "top5_share"), F.size("p").alias("width"))
+    shown = F.transform(F.filter("p", lambda x: x > 0), lambda x: F.round(x * 1e6).cast("long").cast("string"))
+    return rows.select("id", F.array_join(shown, ",").alias("profile"), F.size("p").alias("width"))
 
 
 @query("txt11_phrases", "SELECT id, " + ", ".join(f"array_to_string({phrases_sql('description', k)}, ',') AS {k}" for k in PHRASES) + " FROM items")
@@ -305,42 +416,57 @@ def txt11(s, d):
 
 @query("txt12_sequence_ratio")
 def txt12(s, d):
-    return text_pairs(s, d).select("lost_id", "found_id", sequence_ratio(T.clean_words(F.col("lost_description")), T.clean_words(F.col("found_description"))).alias("ratio"))
+    it = with_phrases(items(s, d)).select("id", "category", "status", "cleaned")
+    return M.candidates(it).select("lost_id", "found_id", sequence_ratio(F.col("lost_cleaned"), F.col("found_cleaned")).alias("ratio"))
+
 
+VECTOR_SQL = "round(list_sum({v}), 6) AS total, round(list_sum([{v}[i] * i FOR i IN range(1, len({v}) + 1)]), 6) AS by_place, CAST(len({v}) AS INT) AS width"
 
-@query("txt6_txt7_tfidf")
+
+def vector_digest(v):
+    """Sums that tell a vector's numbers and their places."""
+    by_place = V.total(F.transform(v, lambda x, i: x * (i + 1)))
+    return r6(V.total(v), "total"), r6(by_place, "by_place"), F.size(v).alias("width")
+
+
+@query("txt6_txt7_tfidf", f"{TFIDF_SQL} SELECT id, {VECTOR_SQL.format(v='tfidf')} FROM tfidf")
 def txt6(s, d):
     rows = items(s, d).select("id", "description")
-    return TfIdf().fit(rows.where("description IS NOT NULL")).transform(rows)
+    out = TfIdf().fit(rows.where("description IS NOT NULL")).transform(rows)
+    return out.select("id", *vector_digest(F.col("tfidf")))
 
 
-@query("txt10_top_terms")
+@query("txt10_top_terms", f"{TFIDF_SQL} SELECT term FROM voc ORDER BY term LIMIT 10")
 def txt10(s, d):
     return TfIdf().fit(items(s, d).select("id", "description").where("description IS NOT NULL")).top_terms(10)
 
 
-@query("txt9_text_features")
+@query("txt9_text_features", f"{TEXT_SQL} SELECT id, {VECTOR_SQL.format(v='text')}, " + ", ".join(f"array_to_string({v.replace('X', 'description')}, ',') AS {k}" for k, v in KEYS_SQL.items()) + " FROM tv JOIN items USING (id)")
 def txt9(s, d):
-    c = F.col("description")
-    return items(s, d).select("id", F.concat(T.statistics(c), T.keyword_vector(c)).alias("features"), F.struct(*(T.keywords(c, k).alias(k) for k in T.KEYWORDS)).alias("keywords"))
+    rows = text_items(s, d).withColumn("words", T.keyword_sets(F.col("description")))
+    return rows.select("id", *vector_digest(F.col("text")), *(F.array_join(F.col(f"words.{k}"), ",").alias(k) for k in T.KEYWORDS))
 
 
-@query("sim9_tfidf_cosine")
+@query("sim9_txt13_compare_texts", f"""{TEXT_SQL} SELECT lost_id, found_id, round({MEAN_JACCARD}, 6) AS keywords, round(CASE WHEN list_dot_product(l.tfidf, l.tfidf) = 0 OR list_dot_product(f.tfidf, f.tfidf) = 0 THEN 0 ELSE list_cosine_similarity(l.tfidf, f.tfidf) END, 6) AS tfidf
+FROM blocked JOIN tfidf l ON l.id = lost_id JOIN tfidf f ON f.id = found_id""")
 def sim9(s, d):
     it = items(s, d)
     vec = TfIdf().fit(it.select("id", "description").where("description IS NOT NULL")).transform(it.select("id", "description"))
-    pairs = M.candidates(it.select("id", "category", "status", "ts").join(vec, "id"))
-    return pairs.select("lost_id", "found_id", r6(V.cosine(F.col("lost_tfidf"), F.col("found_tfidf")), "similarity"))
+    slim = it.select("id", "category", "status", T.keyword_sets(F.col("description")).alias("words")).join(M.with_units(vec, "tfidf"), "id")
+    words = T.keyword_similarity(F.col("lost_words"), F.col("found_words"))
+    return M.candidates(slim).select("lost_id", "found_id", r6(words, "keywords"), r6(V.dot(F.col("lost_tfidf"), F.col("found_tfidf")), "tfidf"))
 
 
 @query("sim12_pair_score")
 def sim12(s, d):
-    return text_pairs(s, d).select("lost_id", "found_id", r6(score(1), "score"))
+    it = with_phrases(items(s, d), 1).select("id", "category", "status", "description", "cleaned", "phrases")
+    return M.candidates(it).select("lost_id", "found_id", r6(score(1), "score"))
 
 
 @query("sim13_pair_score_v2")
 def sim13(s, d):
-    return text_pairs(s, d).select("lost_id", "found_id", r6(score(2), "score"))
+    it = with_phrases(items(s, d), 2).select("id", "category", "status", "description", "cleaned", "phrases")
+    return M.candidates(it).select("lost_id", "found_id", r6(score(2), "score"))
 
 
 @query("jn9_ground_truth")
@@ -348,6 +474,11 @@ def jn9(s, d):
     return ground_truth(items(s, d))
 
 
+@query("jn9_ground_truth_v2")
+def jn9_v2(s, d):
+    return ground_truth(items(s, d), 2, 0.5)
+
+
 # --- ranking -----------------------------------------------------------------------------------------------------
 
 
@@ -370,9 +501,7 @@ def flagship(s, d):
 @query("top5_top_k_then_threshold", """SELECT lost_id, found_id, CAST(rk AS INT) AS rank FROM (SELECT l.id AS lost_id, f.id AS found_id, list_cosine_similarity(l.image, f.image) AS s,
   row_number() OVER (PARTITION BY l.id ORDER BY list_cosine_similarity(l.image, f.image) DESC, f.id DESC) AS rk FROM lost l CROSS JOIN found f) WHERE rk <= 5 AND s >= 0.25""")
 def top5_any(s, d):
-    pairs = M.candidates(M.with_units(items(s, d).select("id", "category", "status", "ts", "image")), category=False)
-    scored = pairs.select("lost_id", "found_id", V.dot(F.col("lost_image"), F.col("found_image")).alias("similarity"))
-    return M.rank(scored, 5, tie=F.desc("found_id")).where("similarity >= 0.25").select("lost_id", "found_id", "rank")
+    return M.image_matches(items(s, d), 5, 0.25, category=False, last_first=True).select("lost_id", "found_id", "rank")
 
 
 @query("top9_best_overall", "SELECT lost_id, found_id, round(similarity, 6) AS similarity FROM matched ORDER BY similarity DESC, lost_id LIMIT 10")
@@ -390,12 +519,19 @@ def top11(s, d):
     return M.page(items(s, d).where("status = 'lost'").select("id", "category"), "id", 3, 20)
 
 
-@query("ml1_ml2_top7_knn", """, z AS (SELECT i, avg(x) AS m, stddev_pop(x) AS sd FROM (SELECT unnest(image) AS x, unnest(range(1, 65)) AS i FROM found) GROUP BY i),
+@query("top11_pages", "SELECT CAST(ceil(count(*) / 20) AS BIGINT) AS pages FROM lost")
+def top11_pages(s, d):
+    return items(s, d).where("status = 'lost'").agg(pages(F.count("*"), 20).alias("pages"))
+
+
+KNN_SQL = """, z AS (SELECT i, avg(x) AS m, stddev_pop(x) AS sd FROM (SELECT unnest(image) AS x, unnest(range(1, 65)) AS i FROM found) GROUP BY i),
 zz AS (SELECT list(m ORDER BY i) AS m, list(sd ORDER BY i) AS sd FROM z),
 sc AS (SELECT id, category, status, [(image[i] - m[i]) / sd[i] FOR i IN range(1, 65)] AS v FROM items, zz),
 nn AS (SELECT l.id AS lost_id, f.id AS found_id, l.category AS lc, f.category AS fc, 1 - list_cosine_similarity(l.v, f.v) AS dist FROM sc l CROSS JOIN sc f WHERE l.status = 'lost' AND f.status = 'found'),
-rr AS (SELECT *, row_number() OVER (PARTITION BY lost_id ORDER BY dist, found_id) AS rank FROM nn)
-SELECT lost_id, found_id, CAST(rank AS INT) AS rank, round(1 / (1 + dist), 6) AS similarity FROM rr WHERE rank <= 20 AND lc = fc""")
+rr AS (SELECT *, row_number() OVER (PARTITION BY lost_id ORDER BY dist, found_id) AS rank FROM nn)"""
+
+
+@query("ml1_ml2_top7_knn", KNN_SQL + " SELECT lost_id, found_id, CAST(rank AS INT) AS rank, round(1 / (1 + dist), 6) AS similarity FROM rr WHERE rank <= 20 AND lc = fc")
 def knn(s, d):
     it = items(s, d)
     out = KnnMatcher(20).fit(it.where("status = 'found'")).predict(it.where("status = 'lost'"))
@@ -407,6 +543,18 @@ def ml3(s, d):
     return training_pairs(items(s, d)).select("lost_id", "found_id", "label")
 
 
+@query("ml3_pair_counts", """, n AS (SELECT category, count(*) AS f FROM found GROUP BY category), p AS (SELECT sum(least(3, f)) AS p FROM lost JOIN n USING (category))
+SELECT CAST(p AS BIGINT) AS positives, CAST(floor(p / 0.3) - p AS BIGINT) AS negatives, CAST(0 AS BIGINT) AS wrong FROM p""")
+def ml3_counts(s, d):
+    it = items(s, d)
+    pairs = training_pairs(it, 0.3).select("lost_id", "found_id", "label")
+    of = lambda side: it.select(F.col("id").alias(f"{side}_id"), F.col("category").alias(f"{side}_category"), F.col("status").alias(f"{side}_status"))
+    named = pairs.join(of("lost"), "lost_id").join(of("found"), "found_id")
+    same = F.col("lost_category") == F.col("found_category")
+    bad = (same != (F.col("label") == 1)) | (F.col("lost_status") != "lost") | (F.col("found_status") != "found")
+    return named.agg(F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") == 0).alias("negatives"), F.count_if(bad).alias("wrong"))
+
+
 @query("ml4_ml5_ml6_top8_svm")
 def ml4(s, d):
     it = items(s, d)
@@ -445,11 +593,12 @@ def agg7(s, d):
     return out.select((F.round("z_mean", 6) + 0.0).alias("z_mean"), r6("z_std", "z_std"), r6("z_min", "z_min"), r6("z_max", "z_max"), "n_outliers")
 
 
-@query("agg8_coverage_matches", "SELECT count(*) AS items, count(m.lost_id) AS with_matches FROM lost l LEFT JOIN (SELECT DISTINCT lost_id FROM matched) m ON m.lost_id = l.id")
+@query("agg8_coverage_matches", "SELECT count(*) AS items, count(m.lost_id) AS with_matches, round(100.0 * count(m.lost_id) / count(*), 6) AS percent FROM lost l LEFT JOIN (SELECT DISTINCT lost_id FROM matched) m ON m.lost_id = l.id")
 def agg8(s, d):
     lost = items(s, d).where("status = 'lost'").select(F.col("id").alias("lost_id"))
     out = M.summary(lost, top5(s, d, minimum=0.1))
-    return out.agg(F.count("*").alias("items"), F.count_if(F.col("num_matches") > 0).alias("with_matches"))
+    some = F.count_if(F.col("num_matches") > 0)
+    return out.agg(F.count("*").alias("items"), some.alias("with_matches"), r6(100.0 * some / F.count("*"), "percent"))
 
 
 @query("agg9_by_category", """SELECT l.category, count(*) AS items, count(m.n) AS with_matches, round(avg(m.best), 6) AS mean_best, round(avg(m.n), 6) AS mean_matches
@@ -473,17 +622,22 @@ def agg12(s, d):
     return top5(s, d).groupBy(T.quality(F.col("similarity")).alias("quality")).agg(F.count("*").alias("n"))
 
 
+@query("agg12_category_counts", "SELECT category, count(*) AS n FROM truth JOIN lost ON lost.id = truth.lost_id GROUP BY category")
+def agg12b(s, d):
+    return truth(s, d).join(items(s, d).select(F.col("id").alias("lost_id"), "category"), "lost_id").groupBy("category").agg(F.count("*").alias("n"))
+
+
 @query("agg13_truth_coverage", "SELECT (SELECT count(*) FROM truth) AS matched, round(100.0 * (SELECT count(*) FROM truth) / (SELECT count(*) FROM lost WHERE labelled), 6) AS percent")
 def agg13(s, d):
     labelled = items(s, d).where("status = 'lost' AND labelled").agg(F.count("*").alias("n"))
     return truth(s, d).agg(F.count("*").alias("matched")).crossJoin(labelled).select("matched", r6(100.0 * F.col("matched") / F.col("n"), "percent"))  # one row each
 
 
-@query("agg14_top_words", f"""SELECT w AS word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '\\s+')) AS w FROM documents) WHERE length(w) > 2 AND NOT list_contains({lit_list(T.STOP_WORDS.split())}, w)
+@query("agg14_top_words", f"""SELECT w AS word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '\\s+')) AS w FROM documents) WHERE length(w) > 2 AND NOT list_contains({lit_list(T.STOP_WORDS)}, w)
 GROUP BY w ORDER BY n DESC, w LIMIT 20""", False)
 def agg14(s, d):
     w = table(s, d, "documents").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
-    return w.where((F.length("word") > 2) & ~F.col("word").isin(T.STOP_WORDS.split())).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(20)
+    return w.where((F.length("word") > 2) & ~F.col("word").isin(*T.STOP_WORDS)).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(20)
 
 
 @query("prf1_describe")
@@ -511,7 +665,7 @@ def prf6(s, d):
     return P.pivot_counts(items(s, d), "category", "status", ["lost", "found"]).select("category", F.round(100.0 * F.col("lost") / F.col("total"), 2).alias("lost_percent"))
 
 
-WORDS_SQL = r"len([x FOR x IN string_split_regex(coalesce(text, ''), '\s+') IF x <> ''])"
+WORDS_SQL = r"len([x FOR x IN string_split_regex(coalesce(text, ''), '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+') IF x <> ''])"
 DESCRIBE_SQL = "count(x) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, min(x) AS min, quantile_cont(x, 0.25) AS q25, quantile_cont(x, 0.5) AS q50, quantile_cont(x, 0.75) AS q75, max(x) AS max"
 
 
@@ -556,13 +710,21 @@ def prf11(s, d):
     return P.pivot_counts(items(s, d).withColumn("day", F.to_date("ts")), "day", "status", ["lost", "found"]).drop("total")
 
 
-@query("prf12_histogram", """, r AS (SELECT min(value) AS lo, max(value) AS hi FROM events)
-SELECT CAST(least(floor((value - lo) * 30 / (hi - lo)), 29) AS BIGINT) AS bin, count(*) AS n FROM events, r GROUP BY 1""")
+@query("prf12_histogram", """, x AS (SELECT value AS v FROM events WHERE value < 20 OR value > 60), r AS (SELECT min(v) AS lo, max(v) AS hi FROM x),
+h AS (SELECT CAST(least(floor((v - lo) * 30 / (hi - lo)), 29) AS BIGINT) AS bin, count(*) AS n FROM x, r GROUP BY 1)
+SELECT CAST(b.bin AS BIGINT) AS bin, coalesce(n, 0) AS n FROM (SELECT unnest(range(30)) AS bin) b LEFT JOIN h ON h.bin = b.bin""")
 def prf12(s, d):
-    return P.histogram(table(s, d, "events"), "value", 30)
+    """Empty bins count too."""
+    return P.histogram(table(s, d, "events").where("value < 20 OR value > 60"), "value", 30).select("bin", "n")
+
+
+@query("prf13_mean_size", "SELECT lang AS category, round(avg(n_chars % 640), 6) AS mean_width, round(avg(n_chars % 480), 6) AS mean_height FROM documents GROUP BY lang", False)
+def prf13(s, d):
+    rows = table(s, d, "documents").select(F.col("lang").alias("category"), (F.col("n_chars") % 640).alias("width"), (F.col("n_chars") % 480).alias("height"))
+    return P.mean_size(rows).select("category", r6("mean_width", "mean_width"), r6("mean_height", "mean_height"))
 
 
-@query("prf14_sample")
+@query("prf14_sample", "SELECT id, category FROM (SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY md5('42-' || id)) AS r FROM items) WHERE r <= 3")
 def prf14(s, d):
     return P.sample_per_group(items(s, d).select("id", "category"), "category", 3)
 
@@ -584,9 +746,9 @@ def metrics_sql(ks=(1, 3, 5)) -> str:
     return "SELECT " + ", ".join([*cols, "round(avg(coalesce(1.0 / pos, 0)), 6) AS mrr", "CAST(NULL AS DOUBLE) AS average_precision"]) + " FROM pos"
 
 
-@query("ev1_to_ev10_ev13_ev15_metrics", metrics_sql())
+@query("ev1_to_ev10_ev13_ev15_metrics", metrics_sql((1, 3, 5, 10)).replace("FROM pos", "FROM (SELECT t.lost_id, r.rank AS pos FROM truth t LEFT JOIN ranked r ON r.lost_id = t.lost_id AND r.found_id = t.found_id AND r.rank <= 10)"))
 def ev15(s, d):
-    out = E.metrics(pos(s, d))
+    out = E.metrics(E.positions(M.image_matches(items(s, d), 10), truth(s, d)), (1, 3, 5, 10))
     return out.select("n_items", *(r6(c, c) for c in out.columns[1:]))
 
 
@@ -620,17 +782,52 @@ def ev14b(s, d):
     return E.roc_auc(rows).select(r6("roc_auc", "roc_auc"))
 
 
-@query("ev16_ml9_comparison")
+def comparison_sql(model: str, rows: str) -> str:
+    p = "pos"
+    cols = [f"'{model}' AS model", "count(*) AS total_items"]
+    hit = lambda k: f"CASE WHEN {p} <= {k} THEN 1.0 ELSE 0.0 END"
+    cols += [f"CAST(max({hit(k)}) AS DOUBLE) AS precision_at_{k}" for k in (1, 3, 5)] + [f"round(avg({hit(k)}), 6) AS recall_at_{k}" for k in (1, 3, 5)]
+    cols += [f"round(CASE WHEN max({hit(k)}) > 0 THEN 2 * avg({hit(k)}) / (1 + avg({hit(k)})) ELSE 0 END, 6) AS f1_at_{k}" for k in (1, 3, 5)]
+    cols += [f"round(avg(coalesce(1.0 / {p}, 0)), 6) AS mrr", f"round(avg(CASE WHEN {p} <= 5 THEN 1 / log2({p} + 1) ELSE 0 END), 6) AS ndcg_at_5", f"round(avg(CASE WHEN {p} <= 5 THEN 1.0 / {p} ELSE 0 END), 6) AS map_at_5"]
+    cols += [f"round(avg({hit(k)}), 6) AS top_{k}_accuracy" for k in (1, 3, 5)] + ["CAST(NULL AS DOUBLE) AS average_precision"]
+    auc = AUC_SQL.format(score="m.similarity", label="t.found_id IS NOT NULL", rows=f"{rows} m LEFT JOIN truth t ON t.lost_id = m.lost_id AND t.found_id = m.found_id").lstrip(", ")
+    return f"""SELECT a.*, b.roc_auc, c.* FROM (SELECT {", ".join(cols)} FROM (SELECT t.lost_id, r.rank AS pos FROM truth t LEFT JOIN {rows} r ON r.lost_id = t.lost_id AND r.found_id = t.found_id)) a,
+    (WITH {auc}) b, (SELECT round(avg(similarity), 6) AS mean_similarity, round(median(similarity), 6) AS median_similarity, round(stddev_pop(similarity), 6) AS std_similarity FROM {rows}) c"""
+
+
+COMPARISON_SQL = KNN_SQL + ", knn AS (SELECT lost_id, found_id, rank, 1 / (1 + dist) AS similarity FROM rr WHERE rank <= 50 AND lc = fc) " + comparison_sql("similarity", "top5") + " UNION ALL BY NAME " + comparison_sql("knn", "knn")
+
+
+def rounded(row):
+    return row.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in row.dtypes))
+
+
+@query("ev16_comparison", COMPARISON_SQL)
 def ev16(s, d):
     it, right = items(s, d), truth(s, d)
-    models = {"similarity": M.image_matches(it), "knn": KnnMatcher(50).fit(it.where("status = 'found'")).predict(it.where("status = 'lost'"))}
-    out = None
-    for name, found in models.items():
-        row = E.metrics(E.positions(found, right)).select(F.lit(name).alias("model"), "recall_at_1", "recall_at_5", "mrr", "ndcg_at_5")
-        out = row if out is None else out.unionByName(row)
-    return out
+    knn = KnnMatcher(50).fit(it.where("status = 'found'")).predict(it.where("status = 'lost'"))
+    return rounded(E.comparison("similarity", M.image_matches(it), right).unionByName(E.comparison("knn", knn, right)))
+
+
+@query("ev16_svm_row")
+def ev16_svm(s, d):
+    """The third model's row; its fit has no SQL."""
+    it = items(s, d)
+    return rounded(E.comparison("svm", PairClassifier().fit(training_pairs(it)).predict(it), truth(s, d)))
+
+
+@query("ml9_first_items")
+def ml9(s, d):
+    """The best three of each learned model for the first three lost items."""
+    it = items(s, d)
+    few = it.where("status = 'lost'").orderBy("id").limit(3)
+    found = it.where("status = 'found'")
+    svm = PairClassifier().fit(training_pairs(it)).predict(few.unionByName(found), 3)
+    near = KnnMatcher(50).fit(found).predict(few).select("lost_id", "found_id", "similarity", "rank")
+    out = M.rank(near.drop("rank"), 3).withColumn("model", F.lit("knn")).unionByName(svm.withColumn("model", F.lit("svm")))
+    return out.select("model", "lost_id", "rank", "found_id", "similarity")
 
 
-@query("snk5_matches_json")
+@query("snk5_matches_json", """SELECT lost_id, CAST(to_json(list({'rank': CAST(rank AS INT), 'found_id': CAST(found_id AS VARCHAR), 'similarity': round(similarity, 6)} ORDER BY rank)) AS VARCHAR) AS matches FROM matched GROUP BY lost_id""")
 def snk5(s, d):
-    return sinks.matches_json(top5(s, d, minimum=0.1))
+    return sinks.matches_json(top5(s, d, minimum=0.1).withColumn("similarity", F.round("similarity", 6)))

@@ -16,16 +16,45 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def read_matches(spark: SparkSession, path: str) -> DataFrame:
-    """``{lost_id: [{rank, found_id, similarity}]}`` as rows (lost_id, rank, found_id, similarity)."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string, array<struct<{MATCH.replace(' int', ': int').replace(' string', ': string').replace(' double', ': double')}>>>").alias("m"))
-    return raw.select(F.explode("m").alias("lost_id", "all")).select("lost_id", F.explode("all").alias("x")).select("lost_id", "x.*")
+def from_metadata(metadata: DataFrame) -> DataFrame:
+    """Items of :func:`read_metadata` as the matching wants them: ``ts`` from the ISO text, null (any time goes) where it
+    doesn't parse, and ``zoned``, whether it names an offset."""
+    zoned = F.coalesce(F.col("timestamp").rlike(r"(Z|[+-]\d\d:?\d\d)$"), F.lit(False))
+    return metadata.withColumns({"ts": F.try_to_timestamp("timestamp"), "zoned": zoned, "labelled": F.coalesce("labelled", F.lit(False))})
 
 
-def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """``{lost_id: found_id}`` as rows."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, string>").alias("m"))
-    return raw.select(F.explode("m").alias("lost_id", "found_id"))
+def normalize_category(category):
+    """One spelling for categories: "computer_mouse" is "computer-mouse"."""
+    return F.regexp_replace(category, "_", "-")
+
+
+def _entries(spark: SparkSession, path: str, value: str) -> DataFrame:
+    """The entries of a JSON object, in one file or in a line per entry as :func:`.sinks.save_map` writes it."""
+    line = F.regexp_replace(F.trim("value"), r"(^\{)|(,$)|(\}$)", "")
+    whole = spark.read.text(path, lineSep="\n")
+    text = whole.where(F.length(F.trim("value")) > 1).select(F.concat(F.lit("{"), line, F.lit("}")).alias("value"))
+    return text.select(F.explode(F.from_json("value", f"map<string, {value}>")).alias("key", "entry"))
+
+
+def read_matches(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``{lost_id: [{rank, found_id, similarity}]}`` as rows (lost_id, rank, found_id, similarity).
+
+    With ``lines`` the file has a line per lost item, as :func:`.sinks.save_matches` writes it, and is read in parts.
+    """
+    kind = "array<struct<rank: int, found_id: string, similarity: double>>"
+    return _map(spark, path, kind, lines).select(F.col("key").alias("lost_id"), F.explode("entry").alias("x")).select("lost_id", "x.*")
+
+
+def read_ground_truth(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``{lost_id: found_id}`` as rows; ``lines`` as in :func:`read_matches`."""
+    return _map(spark, path, "string", lines).select(F.col("key").alias("lost_id"), F.col("entry").alias("found_id"))
+
+
+def _map(spark: SparkSession, path: str, kind: str, lines: bool) -> DataFrame:
+    if lines:
+        return _entries(spark, path, kind)
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string, {kind}>").alias("m"))
+    return raw.select(F.explode("m").alias("key", "entry"))
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -34,16 +63,19 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def image_metadata(images: DataFrame, files: DataFrame) -> DataFrame:
-    """Width, height, aspect ratio, channels and size in KB. ``files`` comes from the binaryFile source."""
-    meta = images.select(F.col("image.origin").alias("path"), "image.width", "image.height", "image.nChannels")
+    """Width, height, mode, aspect ratio, channels and size in KB. ``files`` comes from the binaryFile source."""
+    mode = F.when(F.col("image.nChannels") == 1, "L").when(F.col("image.nChannels") == 3, "RGB").when(F.col("image.nChannels") == 4, "RGBA")
+    meta = images.select(F.col("image.origin").alias("path"), "image.width", "image.height", "image.nChannels", mode.alias("mode"))
     sizes = files.select("path", (F.col("length") / 1024).alias("size_kb"))
     return meta.join(sizes, "path").withColumn("aspect_ratio", F.col("width") / F.col("height"))
 
 
-def new_item(spark: SparkSession, description: str, category: str, status: str = "lost") -> DataFrame:
-    """One row for an upload, with an id and a timestamp of now."""
+def new_item(spark: SparkSession, description: str, category: str, status: str = "lost", image: DataFrame | None = None) -> DataFrame:
+    """One row for an upload, with an id and a timestamp of now. ``image`` (image, one row) is its vector."""
     now = F.current_timestamp()
-    return spark.range(1).select(
+    row = spark.range(1) if image is None else image.select("image").limit(1)
+    return row.select(
+        *([] if image is None else ["image"]),
         F.concat(F.lit("NEW_"), F.date_format(now, "yyyyMMdd_HHmmss")).alias("id"), F.lit(category).alias("category"), F.lit(status).alias("status"),
         F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.lit(description).alias("description"), F.lit(False).alias("labelled"),
     )

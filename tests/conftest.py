@@ -1,5 +1,7 @@
 import os
 import sys
+import tempfile
+from pathlib import Path
 
 import pytest
 
@@ -18,6 +20,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", Path(tempfile.mkdtemp()).as_uri())
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
