@@ -1,17 +1,16 @@
 """License scan with a positional rare-token index, in DataFrame functions only.
 
-A text is reduced to the places of the words that occur in any template. Document frequencies of these words over
-the corpus give their IDF. A template's posting list starts at its highest-IDF word: its places in a file,
-shifted by its place in the key phrase, are candidate alignments; the next words' shifted places are
-intersected in order of falling IDF, until the whole mandatory key phrase stands at the alignments left. What a
-phrase needs is never guessed: each place of a key phrase is among its rarest word's places. Context words
-around the phrase that stand where the template has them give the score.
+The index is a table of postings, one per template: its anchor, the word of its mandatory key phrase with the highest IDF over
+the corpus, the anchor's place, the key phrase, and the notice's other words with their places. It's one literal, whatever the
+number of templates. A file's licence words are looked up in it; each place of an anchor, shifted by the anchor's place in the
+phrase, is a candidate alignment. An alignment stands if the whole key phrase is found there, and the notice's other
+words at their places relative to it give the score. Every place of a key phrase holds its anchor, so none is missed.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,20 +38,44 @@ def template(label: str, text: str, key: str, base: bool = False) -> Template:
     return Template(label, words, at, at + len(phrase), base)
 
 
-# Wordings of public licenses and their notices.
+# Wordings of public licenses and their notices, as words.
 TEMPLATES = (
     template("mit", "released under the mit license", "under the mit license", base=True),
     template("apache-2", "licensed under the apache license version 2 0", "apache license version 2", base=True),
     template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc", base=True),
     template("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
     template("gpl-2", "this work is licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    template("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "terms of the gnu general public license as published by"),
     template("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
+    template("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
     template("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2"),
-    template("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted free of charge"),
-    template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    template("epl-2", "made available under the terms of the eclipse public license 2 0", "eclipse public license 2"),
+    template(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+        "permission is hereby granted free of charge",
+    ),
+    template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
+    template(
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistribution and use in source and binary forms",
+    ),
+    template("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "neither the name of the copyright holder nor the names of its contributors"),
     template("apache-2", "spdx license identifier apache 2 0", "license identifier apache 2"),
+    template("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "use this file except in compliance with the license"),
     template("mit", "spdx license identifier mit", "license identifier mit"),
+    template("gpl", "spdx license identifier gpl", "license identifier gpl"),
     template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    template("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
+    template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
+    template("cc0", "to the extent possible under law waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
+    template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
+    template("boost", "distributed under the boost software license version 1 0", "boost software license version 1"),
+    template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages", "this software is provided as is without any express or implied warranty"),
+    template("artistic-2", "this package is distributed under the artistic license 2 0", "artistic license 2"),
+    template("ofl", "this font software is licensed under the sil open font license version 1 1", "sil open font license version 1"),
+    template("wtfpl", "do what the fuck you want to public license", "what the fuck you want to public license"),
 )
 
 
@@ -62,25 +85,37 @@ def _words(text: Column) -> Column:
 
 
 def word_places(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """``(doc_id, n_words, hits)``: hits are the (word, at) of template words, in order."""
-    vocabulary = sorted({w for t in templates for w in t.words})
+    """``(doc_id, n_words, known, words)``: known are a file's different licence words, those of key phrases.
+
+    words are its words in order if it has all words of any key phrase, else null: nothing can stand in such a file.
+    """
+    keys = [t.words[t.start : t.stop] for t in templates]
+    vocabulary = sorted({w for k in keys for w in k})
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words(F.col("text")).alias("words"))
-    known = F.array_intersect(F.col("words"), F.array(*map(F.lit, vocabulary)))
-    placed = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(vocabulary))
-    hits = F.when(F.size(known) > 0, placed).otherwise(F.array().cast("array<struct<word: string, at: int>>"))
-    return words.select("doc_id", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
+    known = words.select("doc_id", "words", F.array_intersect(F.col("words"), F.array(*map(F.lit, vocabulary))).alias("known"))
+    phrases = F.from_json(F.lit(json.dumps([list(k) for k in keys])), "array<array<string>>")
+    whole = F.exists(phrases, lambda k: F.size(F.array_except(k, F.col("known"))) == 0)
+    return known.select("doc_id", F.size("words").cast("long").alias("n_words"), "known", F.when((F.size("known") > 0) & whole, F.col("words")).alias("words"))
+
 
+def rarity(places: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[str, int]:
+    """Document frequencies of the key phrases' words: a row per word comes to the driver, whatever the input."""
+    counts = places.select(F.explode("known").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return {r["word"]: r["n"] for r in counts.collect()}
 
-def rarity(places: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> list[str]:
-    """The templates' words by falling IDF over the corpus: a row per template word comes to the driver, whatever the input."""
-    seen = places.select(F.explode(F.array_distinct(F.col("hits.word"))).alias("word"))
-    counts = {r["word"]: r["n"] for r in seen.groupBy("word").agg(F.count("*").alias("n")).collect()}
-    return sorted({w for t in templates for w in t.words}, key=lambda w: (counts.get(w, 0), w))
 
+POSTINGS = "array<struct<k: int, anchor: string, place: int, label: string, base: boolean, key: array<string>, n: int, rest: array<struct<away: int, word: string>>>>"
 
-def _places_of(word: str, shift: int) -> Column:
-    """Where a template at its key phrase would start, from each place of ``word``."""
-    return F.transform(F.filter("hits", lambda x: x["word"] == word), lambda x: x["at"] - shift)
+
+def index(counts: dict[str, int], templates: tuple[Template, ...] = TEMPLATES) -> Column:
+    """The templates' postings by anchor, as one literal. ``away`` is a word's place relative to the key phrase."""
+    rows = []
+    for k, t in enumerate(templates):
+        key = t.words[t.start : t.stop]
+        place = min(range(len(key)), key=lambda i: (counts.get(key[i], 0), key[i]))
+        rest = [{"away": i - t.start, "word": w} for i, w in enumerate(t.words) if not t.start <= i < t.stop]
+        rows.append({"k": k, "anchor": key[place], "place": place, "label": t.label, "base": t.base, "key": list(key), "n": len(t.words), "rest": rest})
+    return F.from_json(F.lit(json.dumps(rows)), POSTINGS)
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -92,35 +127,29 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     rows stay as they are otherwise: no shuffle of texts, whatever ties or copies there are.
     """
     places = materialize(word_places(docs, templates), "places")
-    order = {w: i for i, w in enumerate(rarity(places, templates))}
-    found = places
-    for k, t in enumerate(templates):
-        rare_first = sorted(range(t.start, t.stop), key=lambda i: order[t.words[i]])
-        at = _places_of(t.words[rare_first[0]], rare_first[0] - t.start)
-        none = F.array().cast("array<int>")
-        steps = [f"c{k}_{i}" for i in range(len(rare_first))]
-        found = found.withColumn(steps[0], at)
-        for i, step in zip(rare_first[1:], steps[1:]):
-            prev = steps[steps.index(step) - 1]
-            found = found.withColumn(step, F.when(F.size(prev) > 0, F.array_intersect(F.col(prev), _places_of(t.words[i], i - t.start))).otherwise(none))
-        context = [i for i in range(len(t.words)) if not t.start <= i < t.stop]
-        stand = [F.arrays_overlap(F.col(steps[-1]), _places_of(t.words[i], i - t.start)).cast("int") for i in context]
-        share = reduce(lambda a, b: a + b, stand, F.lit(t.stop - t.start)) / F.lit(float(len(t.words)))
-        found = found.withColumn(f"s{k}", F.when(F.size(steps[-1]) > 0, share).otherwise(F.lit(0.0))).withColumnRenamed(steps[-1], f"at{k}").drop(*steps[:-1])
-    base = [k for k, t in enumerate(templates) if t.base]
-    starts = F.concat(*(F.col(f"at{k}") for k in base))
-    named = lambda ks: F.array_join(
-        F.array_sort(F.array_distinct(F.filter(F.array(*(F.when(F.size(f"at{k}") > 0, F.lit(templates[k].label)) for k in ks)), lambda x: x.isNotNull()))), ","
-    )
-    return found.select(
+    counts = rarity(places, templates)
+    postings = index(counts, templates)
+    anchors = sorted({min(t.words[t.start : t.stop], key=lambda w: (counts.get(w, 0), w)) for t in templates})
+    placed = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(anchors))
+    hits = places.withColumn("hits", F.when(F.col("words").isNotNull(), placed))
+    lookup = lambda h: F.transform(F.filter(postings, lambda p: p["anchor"] == h["word"]), lambda p: F.struct(p["k"].alias("k"), p["key"].alias("key"), p["base"].alias("base"), (h["at"] - p["place"]).alias("at")))
+    stands = lambda c: (c["at"] >= 0) & (F.slice(F.col("words"), F.greatest(c["at"], F.lit(0)) + 1, F.size(c["key"])) == c["key"])
+    found = hits.withColumn("found", F.filter(F.flatten(F.transform("hits", lookup)), stands)).drop("hits")
+    of = lambda p: F.filter("found", lambda x: x["k"] == p["k"])
+    there = lambda p, r: F.exists(of(p), lambda x: F.coalesce(F.get(F.col("words"), x["at"] + r["away"]) == r["word"], F.lit(False)))
+    share = lambda p: (F.size(p["key"]) + F.size(F.filter(p["rest"], lambda r: there(p, r)))) / p["n"].cast("double")
+    matched = F.transform(F.filter(postings, lambda p: F.size(of(p)) > 0), lambda p: F.struct(p["label"].alias("label"), p["base"].alias("base"), share(p).alias("share")))
+    named = found.withColumns({"matched": F.when(F.coalesce(F.size("found"), F.lit(0)) > 0, matched), "starts": F.transform(F.filter("found", lambda x: x["base"]), lambda x: x["at"])})
+    labels = lambda rows: F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(rows, lambda m: m["label"]))), ","), F.lit(""))
+    return named.select(
         "doc_id",
         "n_words",
-        F.size(starts).cast("long").alias("n_base"),
-        F.array_min(starts).cast("long").alias("first_word"),
-        F.array_max(starts).cast("long").alias("last_word"),
-        named(base).alias("base_labels"),
-        named(range(len(templates))).alias("labels"),
-        F.round(F.greatest(*(F.col(f"s{k}") for k in range(len(templates)))), 6).alias("score"),
+        F.coalesce(F.size("starts"), F.lit(0)).cast("long").alias("n_base"),
+        F.array_min("starts").cast("long").alias("first_word"),
+        F.array_max("starts").cast("long").alias("last_word"),
+        labels(F.filter("matched", lambda m: m["base"])).alias("base_labels"),
+        labels(F.col("matched")).alias("labels"),
+        F.round(F.coalesce(F.array_max(F.transform("matched", lambda m: m["share"])), F.lit(0.0)), 6).alias("score"),
     )
 
 
