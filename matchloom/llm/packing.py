@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from .cluster import materialize, ship
 from .wordtokens import library_words
 
-#: Ranks of a length in one block: ranges and pieces meet on (length, block), so no task holds a whole length.
-BLOCK = 64
+#: Ranks of a length in one block: ranges and pieces meet on (length, block), so no task holds a whole length. Blocks are listed by FAR.
+BLOCK, FAR = 64, 64 * 4096
+#: Documents in a sequence at most: bounds its attention mask's blocks. The fewest sequences hold 3 or 4 of the test tables' documents on average.
+DOCUMENTS = 256
 #: Rows that are numbered in one task at most, on average.
 NUMBERED = 50_000
 
@@ -130,7 +132,7 @@ def pack(
     docs: DataFrame,
     tokenizer: str,
     tokens: int = 4096,
-    documents: int | None = None,
+    documents: int = DOCUMENTS,
     cost: int | None = None,
     weights: tuple[float, float, float] = (1.0, 0.1, 0.1),
     rule: str = "residual",
@@ -138,17 +140,20 @@ def pack(
 ) -> DataFrame:
     """Pieces of ``docs`` with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    ``documents`` and ``cost`` (sum of squared lengths) are unlimited if None. Offsets in a sequence are
+    A sequence has ``documents`` pieces at most, and their squared lengths come to ``cost`` at most: by default what one piece
+    of ``tokens`` costs, the least that lets every piece in. Offsets in a sequence are
     gapless from 0. An empty table gives no rows; null doc_ids and repeated rows are packed like any others;
     columns besides doc_id and text are ignored.
     """
     spark = docs.sparkSession
     cut = materialize(pieces(docs, tokenizer, tokens, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `tokens` rows
-    plan = best_fit(counts, tokens, documents or tokens, cost or tokens * tokens, weights, rule)
+    plan = best_fit(counts, tokens, documents, cost or tokens * tokens, weights, rule)
     cols = "length long, first long, last long, bin long, offset long"
     ranges = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*plan)], ["length", "first", "last", "bin", "offset"]) if plan else [], cols)
-    ranges = ranges.withColumn("block", F.explode(F.expr(f"sequence(first div {BLOCK}, last div {BLOCK})")))
+    ranges = ranges.withColumn("far", F.explode(F.expr(f"sequence(first div {FAR}, last div {FAR})")))
+    near = f"sequence(greatest(first, far * {FAR}) div {BLOCK}, least(last, (far + 1) * {FAR} - 1) div {BLOCK})"
+    ranges = ranges.withColumn("block", F.explode(F.expr(near))).drop("far")
     ranked = numbered(cut, sum(counts.values())).withColumn("block", F.expr(f"rank div {BLOCK}"))
     placed = ranked.join(ranges, ["length", "block"]).where("rank BETWEEN first AND last")
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.expr("bin + rank - first").alias("sequence_id"), "offset")
