@@ -38,9 +38,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share."""
+    """A fresh folder below spark.checkpoint.dir, which driver and executors share. Only a local session may do without."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = Path(tempfile.gettempdir(), "matchloom-checkpoints").as_uri()
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/matchloom-{uuid.uuid4().hex}"

@@ -46,9 +46,9 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .token_counts import apply_edits, sample_edits
+    from .token_counts import counted_sample
 
-    return apply_edits(sample_edits(documents(spark, sf_dir)), vocabulary())
+    return counted_sample(documents(spark, sf_dir), vocabulary())
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ are encoded once per worker. The two ways of encoding a pre-token are the librar
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 from functools import cache
 from itertools import chain
@@ -19,8 +20,8 @@ import regex
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
 
-#: Entries kept by chunk; the table starts anew beyond it, which bounds memory and changes no result.
-KEPT_CHUNKS = 400_000
+#: Entries kept by chunk and by pre-token, and the longest text kept: bounds memory and changes no result.
+KEPT, KEPT_SIZE = 200_000, 64
 
 _PRETOKEN = regex.compile(PRETOKEN)
 _SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIALS)) + ")")
@@ -39,7 +40,29 @@ _LETTERS = dict(enumerate(byte_letters()))
 
 
 def as_letters(word: str) -> str:
-    return word.encode().decode("latin-1").translate(_LETTERS)
+    # Printable ASCII stands for itself.
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+
+
+class Kept:
+    """The entries last seen, in two generations: the older one goes once the newer one is full."""
+
+    def __init__(self, size: int = KEPT):
+        self.size, self.new, self.old = size, {}, {}
+
+    def find(self, key: str) -> bytes | None:
+        """For what ``new`` doesn't have."""
+        found = self.old.get(key)
+        if found is not None:
+            self.add(key, found)
+        return found
+
+    def add(self, key: str, value: bytes) -> None:
+        if len(key) > KEPT_SIZE:
+            return
+        if len(self.new) >= self.size:
+            self.new, self.old = {}, self.new
+        self.new[key] = value
 
 
 @cache
@@ -58,16 +81,28 @@ class Words:
 
     def __init__(self, path: str):
         self.lib = library(path)
-        self.chunks: dict[str, bytes] = {}
+        self.chunks, self.words = Kept(), Kept()
         self.special = {s: np.array([self.lib.token_to_id(s)], "<u4").tobytes() for s in SPECIALS}
 
     def encode_letters(self, letters: str) -> list[int]:
         raise NotImplementedError
 
+    def _word(self, word: str) -> bytes:
+        """A pre-token's ids."""
+        kept = self.words
+        ids = kept.new.get(word)
+        if ids is None and (ids := kept.find(word)) is None:
+            made = self.encode_letters(as_letters(word))
+            kept.add(word, ids := struct.pack(f"<{len(made)}I", *made))
+        return ids
+
     def _chunk(self, chunk: str) -> bytes:
-        ids = chain.from_iterable(map(self.encode_letters, map(as_letters, _PRETOKEN.findall(chunk))))
-        out = self.chunks[chunk] = np.fromiter(ids, "<u4").tobytes()
-        return out
+        ids = self.chunks.find(chunk)
+        if ids is None:
+            plain = chunk.isascii() and chunk.isalpha()
+            ids = self._word(chunk) if plain else b"".join(map(self._word, _PRETOKEN.findall(chunk)))
+            self.chunks.add(chunk, ids)
+        return ids
 
     def _plain(self, text: str) -> bytes:
         if _UNUSUAL.search(text):
@@ -77,12 +112,10 @@ class Words:
                 return np.fromiter(chain.from_iterable(map(self.encode_letters, words)), "<u4").tobytes()
         else:
             text = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
-        if len(self.chunks) > KEPT_CHUNKS:
-            self.chunks.clear()
-        have, parts = self.chunks.get, []
+        parts, kept, make = [], self.chunks, self._chunk
         for chunk in text.split():
-            ids = have(chunk)
-            parts.append(self._chunk(chunk) if ids is None else ids)
+            ids = kept.new.get(chunk)
+            parts.append(make(chunk) if ids is None else ids)
         return b"".join(parts)
 
     def ids(self, text: str | None) -> bytes:

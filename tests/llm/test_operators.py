@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 from matchloom.llm import bpe_dp, exact_dedup, licenses, line_dedup, packing, quality, queries, simhash, substring_dedup, suffix_dedup, token_counts, wordtokens
-from matchloom.llm.cluster import row_hash
+from matchloom.llm.cluster import materialize, row_hash
 from matchloom.llm.components import connected_components
 
 TOKENIZER = queries.vocabulary()
@@ -155,7 +155,30 @@ def test_packing(docs):
             at += length
         assert at <= limit
     total = sum(e[3] for e in expected)
-    assert len(bins) <= 1.1 * total / limit + 1
+    assert max(map(len, bins.values()), default=0) <= packing.DOCUMENTS
+    rooms = []  # best-fit decreasing, one piece after the other
+    for n in sorted((e[3] for e in expected), reverse=True):
+        fits = [i for i, r in enumerate(rooms) if r >= n]
+        if fits:
+            rooms[min(fits, key=rooms.__getitem__)] -= n
+        else:
+            rooms.append(limit - n)
+    assert -(-total // limit) <= len(bins) <= len(rooms)
+
+
+def test_packing_under_every_capacity(docs, monkeypatch):
+    """Sequences hold few documents and a bounded cost, over ranges that are listed in parts."""
+    monkeypatch.setattr(packing, "BLOCK", 2)
+    monkeypatch.setattr(packing, "FAR", 4)
+    for rule in ("residual", "dot"):
+        bins = collections.defaultdict(list)
+        for r in packing.pack(docs, TOKENIZER, tokens=512, documents=3, cost=512 * 512, weights=(1.0, 0.5, 0.5), rule=rule).collect():
+            bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert sum(map(len, bins.values())) == packing.pack(docs, TOKENIZER, tokens=512).count()
+        for parts in bins.values():
+            parts.sort()
+            assert len(parts) <= 3 and sum(n * n for _, n in parts) <= 512 * 512
+            assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))]
 
 
 def test_best_fit_capacities():
@@ -189,10 +212,10 @@ def test_numbered_splits_hot_keys(spark, monkeypatch):
 
 
 def test_edit_counts(docs, spark):
-    got = token_counts.apply_edits(token_counts.sample_edits(docs), TOKENIZER, leaf=64)
+    got = token_counts.counted_sample(docs, TOKENIZER, leaf=64)
     lib = wordtokens.library(TOKENIZER)
     expected = []
-    for i, t, edits in [tuple(r) for r in token_counts.sample_edits(docs).collect()]:
+    for i, t, edits in [tuple(r) for r in token_counts.sample_edits(docs.select("doc_id", "text")).collect()]:
         before = t = t or ""
         for e in edits:
             t = t[: e["start"]] + e["text"] + t[e["start"] + e["size"] :]
@@ -218,6 +241,26 @@ def test_count_tree_random_edits():
     assert tree.encoded < 2000
 
 
+def test_trees_are_kept_over_batches(spark):
+    """A second batch of edits reads the first one's sums and encodes only what it touches."""
+    lib, rng = wordtokens.library(TOKENIZER), random.Random(12)
+    text = " ".join(rng.choice(["alpha", "beta's", "gamma,", "x1"]) for _ in range(20_000))
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "same text"), (3, "other text")], "doc_id long, text string")
+    trees = materialize(token_counts.token_trees(docs, TOKENIZER))
+    assert trees.where("text IS NULL AND size(tokens) = 0").count() == 1
+    for start, size, new in ((50_000, 3, "one two"), (10, 40_000, ""), (5, 0, "many new words " * 1000)):
+        edits = spark.createDataFrame([(1, text, [(start, size, new)]), (3, "other text", [(0, 5, "")])], "doc_id long, text string, edits array<struct<start: long, size: long, text: string>>")
+        edits = edits.withColumn("rh", row_hash())
+        out = materialize(token_counts.apply_edits(token_counts.edited_trees(trees, edits), TOKENIZER, keep_trees=True))
+        text = text[:start] + new + text[start + size :]
+        rows = {(r["doc_id"], r["text"]): r for r in out.collect()}
+        one = rows[1, text]
+        assert one["n_tokens_after"] == len(lib.encode(text, add_special_tokens=False).ids) == sum(one["tokens"]) and one["n_chars_after"] == len(text)
+        assert one["n_chars_encoded"] <= len(new) + 2000 and one["n_edits"] == 1
+        assert rows[2, ""]["n_tokens"] == 0 and rows[3, "same text"]["n_edits"] == 0 and len(rows) == 4
+        trees = out.select("doc_id", "text", "chars", "tokens")
+
+
 def brute_components(n, linked):
     root = list(range(n))
 
