@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .cluster import materialize
 
-#: A word, once A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, once A-Z are lower-cased. Splitting there is much faster than extracting words.
+BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,8 @@ TEMPLATES = (
 
 def _words(text: Column) -> Column:
     # lower() differs from lower-casing A-Z only within words, but for the Kelvin sign, which it makes a k.
-    return F.regexp_extract_all(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "\u212a", "\u00e9")), F.lit(WORD), F.lit(0))
+    lower = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u00e9")))
+    return F.filter(F.split(lower, BREAK), lambda w: w != "")
 
 
 def word_places(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
