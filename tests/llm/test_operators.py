@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 
 from matchloom.llm import bpe_dp, exact_dedup, licenses, line_dedup, packing, quality, queries, simhash, substring_dedup, suffix_dedup, token_counts, wordtokens
 from matchloom.llm.cluster import materialize, row_hash
@@ -96,9 +97,14 @@ def test_quality(docs):
         hit = {k for j in range(len(w) - 2) if win[tuple(w[j : j + 3])] > 1 for k in (j, j + 1, j + 2)}
         dups = sum(x in lines[:k] for k, x in enumerate(lines))
         failed = len(w) < 50 or 100 * len(hit) > 50 * len(w)
-        out.append((i, len(w), sum(len(x.decode()) for x in w), sum((t or "").count(c) for c in "#*$%&|<>"), dups, len(hit), failed))
+        ratio = lambda x: len(x) / len(zstandard.ZstdCompressor(level=3).compress(x)) if x else 0.0
+        low, high = [(0.0, 6.0), (1.05, 6.5), (1.15, 7.0), (1.2, 8.0), (1.25, 10.0)][sum(len(b) >= n for n in (300, 1000, 4000, 32000))]
+        chunks = [b[k : k + 4096] for k in range(0, len(b) - 4095, 4096)] + ([b[-4096:]] if len(b) > 4096 and len(b) % 4096 else [])
+        outside = sum(not 1.1 <= ratio(x) <= 8 for x in chunks)
+        kept = not failed and low <= ratio(b) <= high and 8 * outside <= len(chunks)
+        out.append((i, len(w), sum(len(x.decode()) for x in w), sum((t or "").count(c) for c in "#*$%&|<>"), dups, len(hit), failed, len(chunks), outside, kept))
     got = quality.rate_quality(docs)
-    same(rows_of(got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")), out)
+    same(rows_of(got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_chunks", "n_chunks_outside", "kept")), out)
     assert not got.where("kept AND base_failed").count()
     kept = quality.rate_quality(docs, keep_columns=True)
     assert kept.columns == docs.columns and kept.count() == got.where("kept").count()
@@ -111,6 +117,8 @@ def test_quality_bands():
     assert rate(prose.encode())[3] and not rate(("spam " * 3000).encode())[3] and not rate(rng.randbytes(9000))[3]
     half = prose[:9000].encode() + b"again " * 3000
     assert not rate(half)[3]
+    tail = prose.encode()[:8192] + b"\0" * 4000  # no full chunk of it
+    assert not rate(tail)[3]
 
 
 def test_exact_dedup(docs):
