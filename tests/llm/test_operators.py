@@ -510,3 +510,38 @@ def test_pipeline(spark, sf):
         if name != "best_fit_packing":
             assert docs.columns == before.columns and 0 < docs.count() <= before.count()
     same(rows_of(corpus_pipeline.run(spark, sf).drop("sequence_id", "offset")), rows_of(docs.drop("sequence_id", "offset")))
+
+
+def test_pipeline_on_awkward_rows(spark, sf, tables):
+    """Nulls, empty and long texts, copies, clashing columns and no rows at all go through every stage."""
+    import corpus_pipeline
+
+    for name in ("odd", "empty"):
+        docs = tables[name]
+        for stage, f in corpus_pipeline.STAGES:
+            before, docs = docs, materialize(f(spark, docs, sf), stage)
+            if stage != "best_fit_packing":
+                assert docs.dtypes == before.dtypes and docs.count() <= before.count()
+        assert (docs.count() > 0) == (name == "odd")
+
+
+def test_pipeline_catches_near_copies(spark, sf):
+    """Copies with a few words changed anywhere, at a similarity of 0.8 and more, keep one document; others all stay."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(6000)]
+    texts, near = [], 0
+    sh = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    for i in range(60):
+        w = [rng.choice(words) for _ in range(rng.randrange(150, 400))]
+        texts.append(w)
+        copy = list(w)
+        for k in rng.sample(range(len(w)), max(1, len(w) // 60)):
+            copy[k] = rng.choice(words)
+        if i % 2 and len(sh(w) & sh(copy)) >= 0.8 * len(sh(w) | sh(copy)):
+            texts.append(copy)
+            near += 1
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = corpus_pipeline.simhash_near_dedup(spark, df, sf).count()
+    assert near > 20 and kept == 60
