@@ -14,27 +14,37 @@ from matchloom.llm.substring_dedup import dedup_substrings
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go: null, empty and short texts among them. Every row is judged alone, so copies stay or go together."""
     return rate_quality(docs, keep_columns=True)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines with a near copy in an earlier document go from the texts."""
+    """Lines with a near copy earlier go from the texts, in order of doc_id (null last) and place; no row goes.
+
+    A text that loses all its lines is empty, a null text stays null. Rows equal in doc_id and text are one document given twice.
+    """
     return dedup_lines(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays. Linked are texts within three bits, and those with a Jaccard similarity of 0.8 and more on five-word shingles."""
+    """One document of each group stays, that of the smallest doc_id. Linked are texts within three bits, and those with a
+    Jaccard similarity of 0.8 and more on five-word shingles, which three bits alone would mostly miss.
+
+    Texts without words are one group. Rows equal in doc_id and text are one document; null doc_ids stay if a group has no other.
+    """
     return keep_one_each(docs, radius=3, shingle=5, similar=True)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Units that an earlier document has go from the texts, short ones where they repeat together with their neighbours."""
+    """Units that stand earlier go from the texts, short ones where they repeat together with their neighbours; no row goes.
+
+    The order is that of doc_id (null last), the text's hash, and place. Null texts stay null.
+    """
     return dedup_substrings(docs, runs=True)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places in sequences of 4096 tokens for all that is left."""
+    """Places in sequences of 4096 tokens and 256 documents for all that is left; a null or empty text is its end token alone."""
     return pack(docs, vocabulary())
 
 
