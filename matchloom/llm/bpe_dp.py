@@ -140,6 +140,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep_ids: bool = False) -> Da
             cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds[: 5 if keep_ids else 3]]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names[: 1 + len(cols)])
+        bpe.forget()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

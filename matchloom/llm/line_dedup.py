@@ -181,13 +181,14 @@ def _lines(rows: DataFrame) -> DataFrame:
 
     def pieces(batch):
         held, size = [], 0
-        for doc_id, rh, text in zip(*(c.to_pylist() for c in batch.columns)):
-            for no, line in normal_lines(text):
-                held.append((doc_id, rh, no, line))
-                size += len(line)
-                if size >= PIECE:
-                    yield held
-                    held, size = [], 0
+        for i in range(0, batch.num_rows, 500):
+            for doc_id, rh, text in zip(*(c.to_pylist() for c in batch.slice(i, 500).columns)):
+                for no, line in normal_lines(text):
+                    held.append((doc_id, rh, no, line))
+                    size += len(line)
+                    if size >= PIECE:
+                        yield held
+                        held, size = [], 0
         if held:
             yield held
 

@@ -48,6 +48,7 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int = 4096, end_id: int = 1)
                     source.append(i)
             cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64()))] if rows else [pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())), *cols], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        words.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 

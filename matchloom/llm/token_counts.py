@@ -150,6 +150,7 @@ def token_trees(docs: DataFrame, tokenizer: str, leaf: int = LEAF) -> DataFrame:
             sums = [CountTree(words, t or "", leaf).sums for t in batch.column(1).to_pylist()]
             cols = [batch.column(1), *(pa.array([x[i] for x in sums], pa.list_(pa.int32())) for i in (0, 1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "text", "chars", "tokens"])
+        words.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string, chars array<int>, tokens array<int>")
 
@@ -188,6 +189,7 @@ def apply_edits(rows: DataFrame, tokenizer: str, leaf: int = LEAF, keep_trees: b
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, pa.int64()) for c in cols), *(pa.array(c, k) for c, k in zip(more, kinds))], ["doc_id", *_NAMES, *["text", "chars", "tokens"][: 3 * keep_trees]]
             )
+        words.forget()
 
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in _NAMES) + (", text string, chars array<int>, tokens array<int>" if keep_trees else "")
     return rows.select(F.col("doc_id").cast("long"), "text", "chars", "tokens", "edits").mapInArrow(run, schema)

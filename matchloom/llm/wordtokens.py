@@ -21,7 +21,7 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
 
 #: Entries kept by chunk and by pre-token, and the longest text kept: bounds memory and changes no result.
-KEPT, KEPT_SIZE = 200_000, 64
+KEPT, KEPT_SIZE = 100_000, 64
 
 _PRETOKEN = regex.compile(PRETOKEN)
 _SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIALS)) + ")")
@@ -84,6 +84,10 @@ class Words:
         self.chunks, self.words = Kept(), Kept()
         self.special = {s: np.array([self.lib.token_to_id(s)], "<u4").tobytes() for s in SPECIALS}
 
+    def forget(self) -> None:
+        """Free what was kept: a Python worker outlives its task, and other tasks need the memory."""
+        self.chunks, self.words = Kept(), Kept()
+
     def encode_letters(self, letters: str) -> list[int]:
         raise NotImplementedError
 
