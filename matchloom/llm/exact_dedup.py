@@ -31,7 +31,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """A table (digest, keep_id, group_size) at ``path``, in ``buckets`` buckets by digest, each sorted.
+    """A table (digest, keep_id, group_size, batch) at ``path``, in ``buckets`` buckets by digest, each sorted.
 
     Opening a path that has an index continues it, in this session or a later one. ``buckets`` is fixed
     when the index is made: choose it so that a bucket of the final index fits a task.
@@ -42,25 +42,32 @@ class DigestIndex:
         self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.table = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
+            f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def new_groups(self, fingerprints: DataFrame) -> DataFrame:
-        """The batch's groups of equal digests that the index doesn't have; the largest doc_id of a group is kept."""
-        groups = fingerprints.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    def groups(self, fingerprints: DataFrame) -> DataFrame:
+        """The batch's groups of equal digests; the largest doc_id of a group is kept."""
+        found = fingerprints.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         # Written first: the optimizer would else push the anti-join below the aggregation, onto every row.
-        return materialize(groups, "groups").hint("merge").join(self.rows().select("digest"), "digest", "left_anti")
+        return materialize(found, "groups")
+
+    def new_groups(self, fingerprints: DataFrame) -> DataFrame:
+        """Those of :meth:`groups` that the index doesn't have."""
+        return self._unknown(self.groups(fingerprints))
 
-    def append(self, groups: DataFrame) -> None:
+    def _unknown(self, groups: DataFrame) -> DataFrame:
+        return groups.hint("merge").join(self.rows().select("digest"), "digest", "left_anti")
+
+    def append(self, groups: DataFrame, batch: str) -> None:
         """One task per bucket writes one sorted file, as rows are dealt by the bucket's own hash."""
-        dealt = groups.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest")
+        dealt = groups.select("digest", "keep_id", "group_size", F.lit(batch).alias("batch")).repartition(self.buckets, "digest")
         dealt.write.insertInto(self.table)
 
-    def add(self, docs: DataFrame) -> DataFrame:
+    def add(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
         """Deduplicate a batch against itself and the index, and append what is new.
 
         Returns a row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256. Of equal texts in
@@ -68,18 +75,22 @@ class DigestIndex:
         row, none of the batch's rows is kept, and group_size is the size of the group that was indexed first.
         Null texts count as empty ones. A null doc_id stays only if all of its group are null; rows equal in
         text and doc_id are one document given twice and are marked alike.
+
+        ``batch`` names the batch. Adding it again under its name, after a crash at whatever point, appends only
+        what is missing and gives the same result; without a name every call is a batch of its own.
         """
+        batch = batch or uuid.uuid4().hex
         prints = materialize(digests(docs), "digests")
-        new = materialize(self.new_groups(prints), "new")
-        self.append(new)
-        known = self.rows().join(new.select("digest", F.lit(True).alias("is_new")), "digest", "left")
-        total = prints.count()
-        sized = known.withColumn("n", F.col("group_size"))
-        return lookup(prints, sized, "digest", "n", total).select(
+        groups = self.groups(prints)
+        self.append(self._unknown(groups), batch)
+        # Copies are counted in this batch, not in that which was indexed first: here a key's rows are hot or not.
+        here = groups.select("digest", F.col("group_size").alias("n")).hint("merge")
+        sized = here.join(self.rows(), "digest")
+        return lookup(prints, sized, "digest", "n", prints.count()).select(
             "doc_id",
             "keep_id",
             "group_size",
-            (F.coalesce(F.col("is_new"), F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+            (F.col("batch").eqNullSafe(F.lit(batch)) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
         )
 

@@ -143,6 +143,18 @@ def test_exact_index_persists(spark, tmp_path):
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
 
 
+def test_exact_index_adds_a_batch_again(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "A"), (2, "a"), (3, "b"), (4, None), (5, "")], "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", 4)
+    # As after a crash that left a part of the batch in the index.
+    index.append(index.new_groups(exact_dedup.digests(docs)).where("keep_id = 2"), "monday")
+    expected = {1: (2, False), 2: (2, True), 3: (3, True), 4: (5, False), 5: (5, True)}
+    for _ in range(2):
+        assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in index.add(docs, "monday").collect()} == expected
+    assert index.rows().count() == 3
+    assert not any(r["kept"] for r in index.add(docs, "tuesday").collect())
+
+
 def test_packing(docs):
     limit = 512
     got = packing.pack(docs, TOKENIZER, tokens=limit).collect()
