@@ -30,7 +30,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import spans_text, substring_report
 
-    return substring_report(documents(spark, sf_dir)).withColumn("spans", spans_text())
+    return substring_report(documents(spark, sf_dir), runs=True).withColumn("spans", spans_text())
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

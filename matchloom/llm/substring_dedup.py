@@ -18,7 +18,7 @@ from .cluster import lookup, materialize, row_hash, shuffles_freed, ship
 
 #: A unit ends after a sentence's end and spaces, or after a line's end. Units follow each other without gaps.
 END = re.compile(r"[.!?][ \t]+|\n")
-#: Shorter units alone are never removed: greetings, headings and the like are no copied passages.
+#: Shorter units go where they repeat together with their neighbours, this many words or more in all: a greeting or a heading alone is no copied passage.
 MIN_WORDS = 5
 #: Scripts without spaces between words, from Thai to Han: two characters count as a word of a run.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -128,12 +128,13 @@ def _cut_rows(docs: DataFrame, min_words: int, runs: bool = False) -> DataFrame:
     return rows.join(gone.hint("shuffle_hash"), F.expr("k <=> d AND h = r"), "left").select("row.*", F.col("gone").alias(unused))
 
 
-def substring_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def substring_report(docs: DataFrame, min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_units, n_removed, n_removed_chars, kept_sha256, spans (removed, in code points of the original).
 
     Null texts have no units. Rows equal in doc_id and text are one document given twice: both keep what it keeps.
+    An empty table gives no rows; other columns are ignored, whatever their names. ``runs`` as in :func:`removed_units`.
     """
-    joined = _cut_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_words)
+    joined = _cut_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_words, runs)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
@@ -171,7 +172,22 @@ def spans_text(spans: str | Column = "spans") -> Column:
 
 
 def report_sql(min_words: int = MIN_WORDS) -> str:
-    """The report in DuckDB's SQL, its spans as :func:`spans_text` writes them."""
+    """The report with ``runs`` in DuckDB's SQL, its spans as :func:`spans_text` writes them."""
+    steps = range(min_words)
+
+    def reach(side: str) -> str:
+        """The number of neighbours needed on one side; null if there aren't enough."""
+        sums = [" + ".join(["size", *(f"{side}(size, {j}) OVER w" for j in range(1, k + 1))]) for k in steps]
+        return "CASE " + " ".join(f"WHEN {x} >= {min_words} THEN {k}" for k, x in zip(steps, sums)) + " END"
+
+    def text(side: str, k: int, ahead: bool) -> str:
+        parts = ["norm", *(f"{side}(norm, {j}) OVER w" for j in range(1, k + 1))]
+        return " || ' ' || ".join(parts if ahead else parts[::-1])
+
+    def chosen(side: str, ahead: bool) -> str:
+        return "CASE " + " ".join(f"WHEN {'after' if ahead else 'before'}_n = {k} THEN {text(side, k, ahead)}" for k in steps) + " END"
+
+    starts = "CASE " + " ".join(f"WHEN before_n = {k} THEN {'i' if k == 0 else f'lag(i, {k}) OVER w'}" for k in steps) + " END"
     return rf"""
 WITH d AS (SELECT doc_id, text, list_filter(regexp_extract_all(coalesce(text, ''), '[^\n]*?(?:[.!?]+[ \t]+|\n|\z)'), lambda u: len(u) > 0) AS units FROM documents),
 u AS (SELECT doc_id, units, unnest(range(len(units))) AS i FROM d),
@@ -179,8 +195,25 @@ n AS (
   SELECT doc_id, i, units[i + 1] AS unit, CASE WHEN i > 0 THEN units[i] ELSE chr(10) END AS before,
     trim(regexp_replace(translate(units[i + 1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm
   FROM u
+), f AS (
+  SELECT doc_id, i, norm, len(string_split(norm, ' ')) AS words, len(string_split(norm, ' '))
+    + len(regexp_extract_all(unit, '[\x{{0e00}}-\x{{0eff}}\x{{1000}}-\x{{109f}}\x{{1780}}-\x{{17ff}}\x{{3040}}-\x{{30ff}}\x{{3400}}-\x{{9fff}}\x{{f900}}-\x{{faff}}\x{{20000}}-\x{{2ffff}}]')) // 2 AS size
+  FROM n WHERE norm <> ''
+), g1 AS (
+  SELECT *, {reach("lag")} AS before_n, {reach("lead")} AS after_n FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), g2 AS (
+  SELECT doc_id, i, words, norm, before_n, after_n, {starts} AS before_start, {chosen("lag", False)} AS before_text, {chosen("lead", True)} AS after_text
+  FROM g1 WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), e AS (
+  SELECT doc_id, i, i AS start, norm AS t FROM f WHERE words >= {min_words}
+  UNION ALL SELECT doc_id, i, before_start, before_text FROM g2 WHERE words < {min_words} AND before_n IS NOT NULL
+  UNION ALL SELECT doc_id, i, i, after_text FROM g2 WHERE words < {min_words} AND after_n IS NOT NULL
+), k AS (
+  SELECT t, min({{'d': doc_id, 's': start}}) AS first FROM e GROUP BY t
+), x AS (
+  SELECT DISTINCT doc_id, i FROM e JOIN k USING (t) WHERE first.d <> doc_id OR first.s <> start
 ), r AS (
-  SELECT *, len(string_split(norm, ' ')) >= {min_words} AND norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) > 1 AS gone FROM n
+  SELECT n.*, x.i IS NOT NULL AS gone FROM n LEFT JOIN x ON x.doc_id = n.doc_id AND x.i = n.i
 ), c AS (
   SELECT *, CASE WHEN NOT gone THEN unit WHEN unit LIKE '%' || chr(10) AND before NOT LIKE '%' || chr(10) THEN chr(10) ELSE '' END AS kept FROM r
 ), o AS (

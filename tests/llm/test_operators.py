@@ -221,6 +221,51 @@ def test_best_fit_capacities():
         packing.best_fit({50: 1}, 100, 5, 100)
 
 
+def sequences_of(plan, counts):
+    """Sequences by number: lengths of their pieces, after a check of ranks and offsets."""
+    ranks, bins = collections.defaultdict(list), collections.defaultdict(list)
+    for n, a, b, first, offset in plan:
+        ranks[n] += range(a, b + 1)
+        for r in range(a, b + 1):
+            bins[first + r - a].append((offset, n))
+    assert {n: sorted(r) for n, r in ranks.items()} == {n: list(range(c)) for n, c in counts.items() if c}
+    for parts in bins.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+    return {k: [n for _, n in v] for k, v in bins.items()}
+
+
+def test_fewest_sequences():
+    """As many sequences as the token bound asks for: short, mixed and long pieces. Capacities bind where they cost nothing."""
+    rng = random.Random(6)
+    for counts in (
+        {1: 10_000},
+        collections.Counter(max(1, int(rng.expovariate(1 / 12.6))) for _ in range(50_000)),
+        collections.Counter(min(4096, max(1, int(rng.lognormvariate(6, 1.2)))) for _ in range(20_000)),
+        {4096: 7, 4095: 3, 1: 3},
+        {},
+    ):
+        bins = sequences_of(packing.fewest(counts, 4096, packing.DOCUMENTS, (1.0, 0.1, 0.1), "residual"), counts)
+        assert max((sum(v) for v in bins.values()), default=0) <= 4096
+        assert len(bins) <= -(-sum(n * c for n, c in counts.items()) // 4096) + (len(counts) > 1)
+    assert len(bins) == 0
+    # Pieces over half a sequence can't share one.
+    assert packing.sequences(packing.fewest({2049: 50, 3000: 20}, 4096, 256, (1.0, 0.1, 0.1), "dot")) == 70
+
+
+def test_capacities_bind():
+    """By hand: ten pieces of 10 tokens in sequences of 100. Tokens ask for 1, four documents for 3, a cost of 5 blocks for 2."""
+    price = lambda n: 1
+    for documents, cost, most in ((100, 100, 1), (4, 100, 3), (100, 5, 2), (3, 5, 4)):
+        bins = sequences_of(packing.best_fit({10: 10}, 100, documents, cost, (1.0, 0.1, 0.1), "residual", price), {10: 10})
+        assert len(bins) == most and max(map(len, bins.values())) <= min(documents, cost)
+    # Where they cost nothing, they hold: two sequences of ten pieces each, not of twelve and eight.
+    counts = {100: 1, 50: 1, 5: 20}
+    bins = sequences_of(packing.fewest(counts, 150, 12, (1.0, 0.1, 0.1), "residual"), counts)
+    assert len(bins) == 2 and max(map(len, bins.values())) <= 24
+    assert packing.attention_blocks(4096) == 528 and packing.attention_blocks(1) == 1 and all(packing.attention_blocks(n) <= n for n in range(1, 4097))
+
+
 def test_numbered_splits_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(packing, "NUMBERED", 10)
     df = spark.range(500).selectExpr("id", "IF(id < 300, 1, id) AS length")
@@ -459,6 +504,43 @@ def test_short_units_of_repeated_passages(spark):
     assert left == {0: texts[0], 1: "Beta opens another text right here. \nEnd.\n", 2: texts[2]}
 
 
+def brute_short_runs(texts, least=5):
+    """The units that go from texts (doc_id, text), by definition: entries by doc_id and place, the first of each text stays."""
+    entries = collections.defaultdict(list)
+    for i, t in texts:
+        us = [(k, u.encode().lower().split(), u) for k, u in enumerate(substring_dedup.split_units(t or ""))]
+        us = [(k, w, len(w) + sum(bool(substring_dedup.UNSPACED.match(c)) for c in u) // 2) for k, w, u in us if w]
+        for at, (k, w, _) in enumerate(us):
+            if len(w) >= least:
+                entries[b" ".join(w)].append((i, k, k))
+                continue
+            for parts in ([us[at : e + 1] for e in range(at, len(us))], [us[e : at + 1] for e in range(at, -1, -1)]):
+                enough = [p for p in parts if sum(x[2] for x in p) >= least]
+                if enough:
+                    entries[b" ".join(x for p in enough[0] for x in p[1])].append((i, enough[0][0][0], k))
+    gone = collections.defaultdict(set)
+    for found in entries.values():
+        first = min(found)[:2]
+        for i, start, k in found:
+            if (i, start) != first:
+                gone[i].add(k)
+    return gone
+
+
+def test_substring_report_with_runs(spark, sf, tables):
+    """As registered: short units too, where they repeat with their neighbours."""
+    for df in (spark.read.parquet(f"{sf}/documents.parquet"), tables["odd"].where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])):
+        texts = texts_of(df)
+        gone, expected = brute_short_runs(texts), []
+        for i, t in texts:
+            units = substring_dedup.split_units(t or "")
+            kept, spans = substring_dedup.cut(units, gone[i])
+            expected.append((i, len(units), len(gone[i]), sum(b - a for a, b in spans), hashlib.sha256(kept.encode()).hexdigest(), tuple(spans)))
+        found = [(*tuple(r)[:5], tuple((s["start"], s["end"]) for s in r["spans"])) for r in substring_dedup.substring_report(df, runs=True).collect()]
+        same(found, expected)
+    assert not substring_dedup.substring_report(tables["empty"], runs=True).collect()
+
+
 @pytest.mark.parametrize("window,sizes", [(200, {}), (40, {}), (40, {"sort_bytes": 2000, "gram_bytes": 1500})])
 def test_suffix_dedup(docs, window, sizes):
     rows = [(i, (t or "").encode()) for i, t in texts_of(docs)]
@@ -506,7 +588,8 @@ def test_bpe_tokens_and_characters():
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, sf, name):
-    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for name_of in ("documents", "embeddings"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {name_of} AS SELECT * FROM '{sf}/{name_of}.parquet'")
     df = queries.queries()[name](spark, sf)
     sql = duckdb.sql(queries.oracle_sql()[name])
     assert sorted(sql.columns) == sorted(df.columns)
