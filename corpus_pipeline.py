@@ -44,7 +44,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places in sequences of 4096 tokens and 256 documents for all that is left; a null or empty text is its end token alone."""
+    """Places in as few sequences of 4096 tokens as best fit finds for all that is left; a null or empty text is its end token alone."""
     return pack(docs, vocabulary())
 
 
