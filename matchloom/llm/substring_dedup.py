@@ -38,13 +38,14 @@ def digest(unit: str, min_words: int) -> bytes | None:
     return hashlib.md5(b" ".join(words), usedforsecurity=False).digest() if len(words) >= min_words else None
 
 
-def run_digests(units: list[str], min_words: int) -> list[tuple[int, int, bytes]]:
-    """``(unit, first, digest)`` of each shorter unit joined with as few neighbours as give ``min_words`` words.
+def run_digests(units: list[str], min_words: int) -> list[tuple[int, int, int, bytes]]:
+    """``(first, unit, also, digest)`` of each shorter unit joined with as few neighbours as give ``min_words`` words.
 
     Neighbours are those before it, and those after it; units without words count as nothing. ``first`` is where they start.
+    Where a unit's neighbours end with one whose neighbours before it start with the unit, both are one: the other is ``also``, else -1.
     """
     full = [(i, w, len(w) + (0 if u.isascii() else len(UNSPACED.findall(u)) // 2)) for i, u in enumerate(units) if (w := u.encode().lower().split())]
-    out = []
+    stretches: dict[tuple[int, int], list[int]] = {}
     for at, (i, words, _) in enumerate(full):
         if len(words) >= min_words:
             continue
@@ -54,11 +55,13 @@ def run_digests(units: list[str], min_words: int) -> list[tuple[int, int, bytes]
                 end += step
                 size += full[end][2]
             if size >= min_words:
-                low, high = min(at, end), max(at, end)
-                joined = b" ".join(w for _, part, _ in full[low : high + 1] for w in part)
-                out.append((i, full[low][0], hashlib.md5(joined, usedforsecurity=False).digest()))
-                if low == high:
+                stretches.setdefault((min(at, end), max(at, end)), []).append(i)
+                if end == at:
                     break
+    out = []
+    for (low, high), found in stretches.items():
+        joined = b" ".join(w for _, part, _ in full[low : high + 1] for w in part)
+        out.append((full[low][0], found[0], found[1] if len(found) > 1 else -1, hashlib.md5(joined, usedforsecurity=False).digest()))
     return out
 
 
@@ -81,51 +84,64 @@ def cut(units: list[str], gone: set[int]) -> tuple[str, list[tuple[int, int]]]:
 
 
 def _units(rows: DataFrame, min_words: int, runs: bool) -> DataFrame:
+    """``rows`` has doc_id, text and, if ids are shared, rh. ``also`` is -1, or a second unit that goes with ``unit``."""
+    ids = [c for c in rows.columns if c != "text"]
+
     def run(batches):
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
-            for doc_id, rh, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, text in enumerate(batch.column(len(ids)).to_pylist()):
                 # By digest, the place it starts at first: a run's other units may name the same place.
                 seen: dict[bytes, int] = {}
                 units = split_units(text or "")
-                found = [(i, i, d) for i, u in enumerate(units) if (d := digest(u, min_words)) is not None]
+                found = [(i, i, -1, d) for i, u in enumerate(units) if (d := digest(u, min_words)) is not None]
                 if runs:
-                    found = sorted(found + run_digests(units, min_words), key=lambda x: x[1])
-                for i, first, d in found:
-                    for c, v in zip(cols, (doc_id, rh, i, d, seen.setdefault(d, first) != first)):
+                    found = sorted(found + run_digests(units, min_words), key=lambda x: x[0])
+                for first, i, also, d in found:
+                    for c, v in zip(cols, (k, i, also, d, seen.setdefault(d, first) != first)):
                         c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "rh", "unit", "digest", "again"])
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+            at, *made = (pa.array(c, k) for c, k in zip(cols, kinds))
+            yield pa.RecordBatch.from_arrays([*(batch.column(j).take(at) for j in range(len(ids))), *made], [*ids, "unit", "also", "digest", "again"])
 
-    return rows.select("doc_id", "rh", "text").mapInArrow(run, "doc_id long, rh long, unit int, digest binary, again boolean")
+    named = ", ".join(f"{c} long" for c in ids)
+    return rows.select(*ids, "text").mapInArrow(run, f"{named}, unit int, also int, digest binary, again boolean")
+
+
+def shared_ids(docs: DataFrame) -> bool:
+    """Are there null or repeated doc_ids? Reads nothing but them."""
+    with shuffles_freed(docs.sparkSession):
+        return not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty()
 
 
-def removed_units(docs: DataFrame, min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
-    """``(doc_id, rh, gone)`` for the documents that lose units. A document is named by doc_id and the text's hash.
+def removed_units(docs: DataFrame, shared: bool, min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
+    """``(doc_id, rh, gone)`` for the documents that lose units; without ``shared`` ids, ``(doc_id, gone)``.
 
-    Rows equal in both are one document given twice. With ``runs``, a shorter unit goes too if it and its neighbours on one side repeat together (:func:`run_digests`).
+    Where ids are shared, a document is named by doc_id and the text's hash; rows equal in both are one document given twice.
+    With ``runs``, a shorter unit goes too if it and its neighbours on one side repeat together (:func:`run_digests`).
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rh", row_hash())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *([row_hash().alias("rh")] if shared else []), "text")
     units = materialize(_units(rows, min_words, runs), "units")
-    place = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    ids = units.groupBy("doc_id").agg(F.min("rh").alias("r0"), F.max("rh").alias("r1"))
     with shuffles_freed(docs.sparkSession):
-        shared_ids, total = not ids.where("r0 != r1").isEmpty(), units.count()
-    if shared_ids:  # several documents under one doc_id: slower, as structs are aggregated by sorting
-        place = F.struct(place.alias("doc"), F.col("rh"))
+        total = units.count()
+    place = F.col("doc_id")
+    if shared:  # slower, as structs are aggregated by sorting
+        place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.col("rh"))
     groups = units.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
     hit = lookup(units, groups, "digest", "n", total)
     gone = hit.where((place != F.col("first")) | F.col("again"))
-    return gone.groupBy("doc_id", "rh").agg(F.collect_set("unit").alias("gone"))
+    both = gone.select("doc_id", *(["rh"] if shared else []), F.explode(F.filter(F.array("unit", "also"), lambda x: x >= 0)).alias("unit"))
+    return both.groupBy("doc_id", *(["rh"] if shared else [])).agg(F.collect_set("unit").alias("gone"))
 
 
 def _cut_rows(docs: DataFrame, min_words: int, runs: bool = False) -> DataFrame:
     """The columns of ``docs`` and, last, the numbers of the units that go."""
     unused = "gone" + "_" * (1 + max(map(len, docs.columns)))
-    gone = removed_units(docs, min_words, runs).toDF("d", "r", "gone")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("k"), row_hash().alias("h"))
-    return rows.join(gone.hint("shuffle_hash"), F.expr("k <=> d AND h = r"), "left").select("row.*", F.col("gone").alias(unused))
+    shared = shared_ids(docs)
+    gone = removed_units(docs, shared, min_words, runs).toDF("d", *(["r"] if shared else []), "gone")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("k"), *([row_hash().alias("h")] if shared else []))
+    return rows.join(gone.hint("shuffle_hash"), F.expr("k <=> d AND h = r" if shared else "k = d"), "left").select("row.*", F.col("gone").alias(unused))
 
 
 def substring_report(docs: DataFrame, min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
