@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import lookup, materialize, row_hash, shuffles_freed, ship
+from .cluster import drop, lookup, materialize, row_hash, shuffles_freed, ship
 
 #: A unit ends after a sentence's end and spaces, or after a line's end. Units follow each other without gaps.
 END = re.compile(r"[.!?][ \t]+|\n")
@@ -132,7 +132,10 @@ def removed_units(docs: DataFrame, shared: bool, min_words: int = MIN_WORDS, run
     hit = lookup(units, groups, "digest", "n", total)
     gone = hit.where((place != F.col("first")) | F.col("again"))
     both = gone.select("doc_id", *(["rh"] if shared else []), F.explode(F.filter(F.array("unit", "also"), lambda x: x >= 0)).alias("unit"))
-    return both.groupBy("doc_id", *(["rh"] if shared else [])).agg(F.collect_set("unit").alias("gone"))
+    # Written before texts are shuffled, so that the units' shuffles and their table are gone by then.
+    found = materialize(both.groupBy("doc_id", *(["rh"] if shared else [])).agg(F.collect_set("unit").alias("gone")), "gone")
+    drop(units)
+    return found
 
 
 def _cut_rows(docs: DataFrame, min_words: int, runs: bool = False) -> DataFrame:
