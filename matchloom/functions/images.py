@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import ship
+from .sift import DIMS as SIFT_DIMS
+from .sift import sift
+
 SIDE = 224
 DIMS = {"color_histogram": 96, "dominant_colors": 20, "color_moments": 9, "lbp": 26, "glcm": 10, "edges": 17, "shapes": 6}
 
@@ -52,7 +56,7 @@ def color_histogram(rgb: np.ndarray, bins: int = 32) -> np.ndarray:
     return np.concatenate([x / np.linalg.norm(x) for x in counts])
 
 
-def dominant_colors(rgb: np.ndarray, k: int = 5, starts: int = 3, rounds: int = 30) -> np.ndarray:
+def dominant_colors(rgb: np.ndarray, k: int = 5, starts: int = 10, rounds: int = 30) -> np.ndarray:
     """Red, green, blue and share of ``k`` clusters by share; equal pixels are clustered once, with their number as weight."""
     points, weight = np.unique(rgb.reshape(-1, 3), axis=0, return_counts=True)
     points, rng, best = points.astype(float), np.random.default_rng(42), None
@@ -213,24 +217,49 @@ def shapes(g: np.ndarray, threshold: int = 127) -> np.ndarray:
     return np.array([len(found), area.mean(), length.mean(), area[most], length[most], round_])
 
 
-def vector(rgb: np.ndarray) -> np.ndarray:
+def vector(rgb: np.ndarray, include_sift: bool = False) -> np.ndarray:
+    """184 numbers, and with ``include_sift`` 128 more."""
     g = gray(rgb)
-    return np.concatenate([color_histogram(rgb), dominant_colors(rgb), color_moments(rgb), local_binary_patterns(g), cooccurrence(g), edges(g), shapes(g)])
+    more = [sift(g)] if include_sift else []
+    return np.concatenate([color_histogram(rgb), dominant_colors(rgb), color_moments(rgb), local_binary_patterns(g), cooccurrence(g), edges(g), shapes(g), *more])
+
+
+def image_result(image: Column | str, include_sift: bool = False) -> Column:
+    """A struct (vector, error) for a struct of the image source: one of both is null. A broken image costs its row, not the task."""
+    ship(SparkSession.active())
+
+    @F.pandas_udf("struct<vector: array<double>, error: string>")
+    def one(images: pd.DataFrame) -> pd.DataFrame:
+        vectors, errors = [], []
+        for h, w, c, data in zip(images["height"], images["width"], images["nChannels"], images["data"]):
+            made = error = None
+            if data is None or pd.isna(h):
+                error = "there is no image file"
+            elif h <= 0 or w <= 0:
+                error = "the file can't be decoded as an image"
+            else:
+                try:
+                    made = vector(decode(int(h), int(w), int(c), data), include_sift).tolist()
+                except Exception as e:  # whatever is wrong with one image, the others go on and the message is kept
+                    error = f"{type(e).__name__}: {e}"
+            vectors.append(made)
+            errors.append(error)
+        return pd.DataFrame({"vector": pd.Series(vectors, dtype=object), "error": pd.Series(errors, dtype=object)})
+
+    return one(image)
 
 
 def image_vector(image: Column | str) -> Column:
-    """184 numbers for a struct of the image source; null where it can't be decoded."""
+    """184 numbers for a struct of the image source; null where it can't be made."""
+    return image_result(image)["vector"]
 
-    @F.pandas_udf("array<double>")
-    def one(images: pd.DataFrame) -> pd.Series:
-        good = (images["height"] > 0) & (images["width"] > 0)
-        rows = zip(good, images["height"], images["width"], images["nChannels"], images["data"])
-        return pd.Series([vector(decode(int(h), int(w), int(c), d)).tolist() if ok else None for ok, h, w, c, d in rows], dtype=object)
 
-    return one(image)
+def dims(include_sift: bool = False) -> Column:
+    """The parts of a vector and their widths."""
+    return F.create_map(*(F.lit(x) for pair in (DIMS | ({"sift": SIFT_DIMS} if include_sift else {})).items() for x in pair))
 
 
-def image_features(images: DataFrame) -> DataFrame:
-    """(path, image_features, image_feature_dims) for the rows of the image source."""
-    dims = F.create_map(*(F.lit(x) for pair in DIMS.items() for x in pair))
-    return images.select(F.col("image.origin").alias("path"), image_vector("image").alias("image_features")).withColumn("image_feature_dims", F.when(F.col("image_features").isNotNull(), dims))
+def image_features(images: DataFrame, include_sift: bool = False) -> DataFrame:
+    """(path, image_features, image_feature_dims, error) for the rows of the image source."""
+    made = images.select(F.col("image.origin").alias("path"), image_result("image", include_sift).alias("made"))
+    return made.select("path", F.col("made.vector").alias("image_features"), F.when(F.col("made.vector").isNotNull(), dims(include_sift)).alias("image_feature_dims"), F.col("made.error").alias("error"))

@@ -1,13 +1,12 @@
 """The best k partners of each row by a score of all pairs, as matrix products of blocks.
 
-Both sides are dealt into blocks by the hash of their id, so that a task holds two blocks of a bounded number of rows whatever
-the size of a category; each pair of blocks gives its best k, and these are ranked once more. What is
-shuffled grows with rows times blocks and k, not with the number of pairs.
+Both sides are dealt into blocks by the hash of their id, each category into as many as it needs itself, so that a task holds
+two blocks of a bounded number of rows whatever the size of a category; each pair of blocks gives its best k, and these are
+ranked once more. What is shuffled grows with rows times blocks of their own category and k, not with the number of pairs.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -15,8 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block.
-BLOCK = 4096
+from ..cluster import ship
+
+#: Rows of a block, and of the strips of a block that are scored at a time.
+BLOCK, STRIP = 4096, 512
 
 Score = Callable[[pd.DataFrame, pd.DataFrame], dict[str, np.ndarray]]
 
@@ -61,27 +62,36 @@ def similarities(a: pd.Series, b: pd.Series, method: str = "cosine") -> np.ndarr
     return out * (has_x[:, None] & has_y[None, :])
 
 
-def _blocks(largest: int, block: int) -> int:
-    return max(1, math.ceil(largest / block))
-
+def dealt(lost: DataFrame, found: DataFrame, by: str | None, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_key``, ``_l`` and ``_f``: rows of a key meet all of the other side where these three are equal.
 
-def best_k(lost: DataFrame, found: DataFrame, score: Score, k: int, by: str | None = "category", temporal: bool = False, last_first: bool = False, block: int = BLOCK) -> DataFrame:
+    Rows of a key that the other side lacks go. Null keys are one key.
+    """
+    key = F.col(by) if by else F.lit(0)
+    size = lambda df, n: df.groupBy(key.alias("_k")).agg(F.ceil(F.count("*") / block).alias(n))
+    f = size(found, "_nf").withColumnRenamed("_k", "_g")
+    # Both sides may come from one table: a row per key, joined where both keys are null too.
+    blocks = size(lost, "_nl").join(f, F.expr("_k <=> _g")).drop("_g")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    out = []
+    for df, mine, theirs, n, m in ((lost, "_l", "_f", "_nl", "_nf"), (found, "_f", "_l", "_nf", "_nl")):
+        rows = df.withColumn("_key", key).join(blocks, F.expr("_key <=> _k"))
+        out.append(rows.withColumn(mine, own(n)).withColumn(theirs, every(m)).drop("_k", "_nl", "_nf"))
+    return out[0], out[1]
+
+
+def best_k(lost: DataFrame, found: DataFrame, score: Score, k: int, by: str | None = "category", temporal: bool = False, last_first: bool = False, block: int = BLOCK, tasks: int | None = None) -> DataFrame:
     """(lost_id, found_id, one column per score, rank): each lost row's best ``k`` by the first score of ``score``, falling.
 
     ``lost`` and ``found`` have id, ``by`` (null matches null), ts for ``temporal``, and what ``score`` reads.
-    Ties go to the smaller found id, or to the larger one with ``last_first``. A null ts matches any, and so do times of which only one is ``zoned``.
+    Pairs of blocks are dealt to ``tasks`` tasks, by default as Spark sees fit. Ties go to the smaller found id, or to the larger one with ``last_first``. A null ts matches any, and so do times of which only one is ``zoned``.
     """
     names = list(score(pd.DataFrame({c: [] for c in lost.columns}), pd.DataFrame({c: [] for c in found.columns})))
-    key = F.col(by) if by else F.lit(0)
+    ship(lost.sparkSession)
     time = F.unix_micros(F.col("ts").cast("timestamp")) if temporal else F.lit(0).cast("long")
-    size = lambda df, side: df.groupBy(key.alias("key")).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).select(F.lit(side).alias("side"), "n")
-    sizes = {r["side"]: r["n"] or 0 for r in size(lost, "lost").unionByName(size(found, "found")).collect()}  # two rows
-    lost_blocks, found_blocks = _blocks(sizes["lost"], block), _blocks(sizes["found"], block)
-    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     far = F.lit(1 << 62)
-    left = lost.withColumns({"_key": key, "_t": F.coalesce(time, -far), "_l": own(lost_blocks)}).withColumn("_f", every(found_blocks))
-    right = found.withColumns({"_key": key, "_t": F.coalesce(time, far), "_f": own(found_blocks)}).withColumn("_l", every(lost_blocks))
+    left, right = dealt(lost.withColumn("_t", F.coalesce(time, -far)), found.withColumn("_t", F.coalesce(time, far)), by, block)
     kinds = dict(lost.dtypes)["id"], dict(found.dtypes)["id"]
 
     def block_pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -89,6 +99,9 @@ def best_k(lost: DataFrame, found: DataFrame, score: Score, k: int, by: str | No
         if a.empty or b.empty:
             return pd.DataFrame({c: [] for c in columns})
         b = b.sort_values("id", ascending=not last_first)
+        return pd.concat([strip(a.iloc[i : i + STRIP], b) for i in range(0, len(a), STRIP)])
+
+    def strip(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         scores = score(a, b)
         s = scores[names[0]].copy()
         valid = b["_t"].to_numpy()[None, :] >= a["_t"].to_numpy()[:, None]
@@ -107,6 +120,8 @@ def best_k(lost: DataFrame, found: DataFrame, score: Score, k: int, by: str | No
     schema = f"lost_id {kinds[0]}, found_id {kinds[1]}, " + ", ".join(f"{n} double" for n in names)
     # Both sides may come from one table: a cogroup needs columns of its own for each.
     left, right = (df.toDF(*(f"{c}{side}" for c in df.columns)).toDF(*df.columns) for side, df in (("_a", left), ("_b", right)))
+    if tasks:
+        left, right = (df.repartition(tasks, "_key", "_l", "_f") for df in (left, right))
     parts = left.groupBy("_key", "_l", "_f").cogroup(right.groupBy("_key", "_l", "_f")).applyInPandas(block_pair, schema)
     tie = F.desc("found_id") if last_first else F.asc("found_id")
     w = Window.partitionBy("lost_id").orderBy(F.desc(names[0]), tie)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..cluster import materialize, ship
 from ..functions.text import clean_words, overlap, quality, truncate
 from .match import candidates, rank
 
@@ -28,10 +29,12 @@ PHRASES_2 = {
     "features": ("backpack", "bag", "satchel", "messenger", "hiking", "laptop", "zippered", "compartment", "pocket", "strap"),
 }
 
+#: Characters that are counted one by one.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
 
 @F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity; it depends on the order of its operands. Equal pairs of a batch are compared once."""
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     known: dict[tuple, float] = {}
     out = []
     for pair in zip(a, b):
@@ -41,6 +44,25 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """Ratcliff-Obershelp similarity; it depends on the order of its operands. Equal pairs of a batch are compared once."""
+    ship(SparkSession.active())
+    return _ratio(a, b)
+
+
+def letter_counts(text: Column) -> Column:
+    """How often each of LETTERS and, last, anything else occurs."""
+    counts = F.transform(F.array(*map(F.lit, LETTERS)), lambda c: F.length(text) - F.length(F.replace(text, c, F.lit(""))))
+    return F.concat(counts, F.array(F.length(text) - F.aggregate(counts, F.lit(0), lambda s, x: s + x)))
+
+
+def ratio_bound(a: Column, b: Column) -> Column:
+    """What :func:`sequence_ratio` can't exceed, from two :func:`letter_counts`: no character is matched twice."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda s, y: s + y)
+    both = total(a) + total(b)
+    return F.when(both == 0, 1.0).otherwise(2.0 * total(F.zip_with(a, b, lambda x, y: F.least(x, y))) / both)
+
+
 def phrases(text: Column, kind: str, lists: dict[str, tuple[str, ...]] = PHRASES) -> Column:
     """Phrases of a kind that occur anywhere in the text, also inside words."""
     return F.filter(F.array(*map(F.lit, lists[kind])), lambda k: F.instr(text, k) > 0)
@@ -53,9 +75,12 @@ def with_phrases(items: DataFrame, version: int = 1) -> DataFrame:
     return cleaned.withColumn("phrases", F.struct(*(phrases(F.col("cleaned"), k, lists).alias(k) for k in lists)))
 
 
-def score(version: int = 1) -> Column:
-    """Score of a pair of :func:`with_phrases` items under equal categories; 0 if either has no description."""
-    text = sequence_ratio(F.col("lost_cleaned"), F.col("found_cleaned"))
+def score(version: int = 1, text: Column | None = None) -> Column:
+    """Score of a pair of :func:`with_phrases` items under equal categories; 0 if either has no description.
+
+    It never falls where ``text``, by default the sequence ratio of both, grows.
+    """
+    text = sequence_ratio(F.col("lost_cleaned"), F.col("found_cleaned")) if text is None else text
     part = lambda k: (F.col(f"lost_phrases.{k}"), F.col(f"found_phrases.{k}"))
     share = lambda k: overlap(*part(k))
     any_ = lambda k, v: F.when(F.size(F.array_intersect(*part(k))) > 0, v).otherwise(0.0)
@@ -67,6 +92,35 @@ def score(version: int = 1) -> Column:
     return F.when(F.col("lost_description").isNull() | F.col("found_description").isNull(), 0.0).otherwise(s)
 
 
+def _pairs(items: DataFrame, version: int) -> DataFrame:
+    """Pairs of a category with ``upper``, what their score can't exceed."""
+    rows = items.withColumn("letters", letter_counts(F.col("cleaned"))).drop("description", "cleaned").withColumn("description", F.col("letters").isNotNull())
+    described = rows.withColumn("description", F.when(F.col("description"), True))
+    return candidates(described).withColumn("upper", score(version, ratio_bound(F.col("lost_letters"), F.col("found_letters")))).select("lost_id", "found_id", "upper")
+
+
+def _scored(pairs: DataFrame, items: DataFrame, version: int) -> DataFrame:
+    """(lost_id, found_id, similarity) of ``pairs`` (lost_id, found_id) by the sequence ratio itself."""
+    named = lambda side: items.select(F.col("id").alias(f"{side}_id"), *(F.col(c).alias(f"{side}_{c}") for c in ("description", "cleaned", "phrases")))
+    return pairs.join(named("lost"), "lost_id").join(named("found"), "found_id").select("lost_id", "found_id", score(version).alias("similarity"))
+
+
+def best_pairs(items: DataFrame, version: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """The best pair per lost item of :func:`with_phrases` items, and the pairs whose sequence ratio had to be taken for it.
+
+    Filter and verify: bounds come from lengths and character counts. The ratio is taken for each lost item's pair of the
+    highest bound, then for those whose bound reaches what that gave. A bound under ``least`` needs none.
+    """
+    possible = _pairs(items, version).where((F.col("upper") > 0) & (F.col("upper") >= least))
+    highest = possible.groupBy("lost_id").agg(F.max_by("found_id", "upper").alias("found_id"))
+    first = materialize(_scored(highest, items, version), "first")
+    seen = first.select("lost_id", F.col("found_id").alias("seen"), F.col("similarity").alias("reached"))
+    others = possible.join(seen, "lost_id").where((F.col("upper") >= F.col("reached")) & (F.col("found_id") != F.col("seen"))).select("lost_id", "found_id")
+    verified = first.unionByName(_scored(others, items, version))
+    best = rank(verified, 1).where((F.col("similarity") > 0) & (F.col("similarity") >= least))
+    return best, first.select("lost_id", "found_id").unionByName(others)
+
+
 def ground_truth(items: DataFrame, version: int = 1, minimum: float | None = None) -> DataFrame:
     """The best found item per lost item; the first by id wins ties, scores of 0 never match.
 
@@ -75,9 +129,9 @@ def ground_truth(items: DataFrame, version: int = 1, minimum: float | None = Non
     """
     least = minimum if minimum is not None else 0.35 if version == 1 else 0.75
     rows = items.where("labelled") if version == 1 else items
-    use = ["id", "category", "status", "description"]
-    pairs = candidates(with_phrases(rows.select(*use), version))
-    best = rank(pairs.withColumn("similarity", score(version)), 1).where((F.col("similarity") > 0) & (F.col("similarity") >= least))
+    rows = with_phrases(rows.select("id", "category", "status", "description"), version)
+    named = lambda side: rows.select(F.col("id").alias(f"{side}_id"), F.col("category").alias(f"{side}_category"), F.col("description").alias(f"{side}_description"))
+    best = best_pairs(rows, version, least)[0].join(named("lost"), "lost_id").join(named("found"), "found_id")
     short = lambda c: truncate(F.col(c)) if version == 1 else truncate(F.col(c), 80, True)
     return best.select(
         "lost_id", "found_id", F.round("similarity", 3).alias("confidence"), F.col("lost_category").alias("category"),

@@ -31,10 +31,9 @@ def _swapped(matches: DataFrame) -> DataFrame:
     return matches.select(*(F.col(other.get(c, c)).alias(c) for c in matches.columns))
 
 
-def category_guard(items: DataFrame, wanted: bool = True) -> bool:
+def category_guard(lost: DataFrame, found: DataFrame, wanted: bool = True) -> bool:
     """Categories filter only where both sides have any."""
-    both = items.agg(F.count_if((F.col("status") == "lost") & F.col("category").isNotNull()), F.count_if((F.col("status") == "found") & F.col("category").isNotNull())).first()
-    return wanted and all(both)
+    return wanted and not any("category" not in df.columns or df.where("category IS NOT NULL").isEmpty() for df in (lost, found))
 
 
 @dataclass(frozen=True)
@@ -81,7 +80,7 @@ class Matcher:
     def match(self, lost: DataFrame, found: DataFrame, k: int | None = None) -> DataFrame:
         """(lost_id, found_id, similarity, image_similarity, text_similarity, rank) of the best ``k`` at or above the minimum; 0 stands for the default."""
         use = [c for c in ("id", "category", "ts", "zoned", "image", "text") if c in lost.columns and c in found.columns]
-        by = "category" if self.require_category else None
+        by = "category" if category_guard(lost, found, self.require_category) else None
         out = best_k(lost.select(*use), found.select(*use), self._score(use), k or self.top_k or 5, by, self.method == "slow" and "ts" in use)
         return out.where(F.col("similarity") >= self.min_similarity)
 
@@ -117,7 +116,9 @@ def find_matches(item: DataFrame, items: DataFrame, status: str = "lost", model:
         raise ValueError(f"the model {model} isn't fitted")
     other = items.where(F.col("status") == ("found" if status == "lost" else "lost"))
     if model == "knn":
-        found = fitted.fit(other, fitted.col).predict(item)
+        if status != "lost" or fitted.found is None:  # neighbours among lost items need a scaler of their own; the caller's stays as it is
+            fitted = KnnMatcher(fitted.n, fitted.metric, fitted.prefilter).fit(other, fitted.col)
+        found = fitted.predict(item)
     else:
         both = item.withColumn("status", F.lit("lost")).unionByName(other.withColumn("status", F.lit("found")), allowMissingColumns=True)
         found = fitted.predict(both, 5)

@@ -32,6 +32,23 @@ def describe(df: DataFrame, col: Column, by: list[str] | None = None) -> DataFra
     return out.select(*(by or []), "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
+def describe_all(df: DataFrame) -> DataFrame:
+    """A row per column: n, and by kind n_unique, top (of ties the smallest) and freq, or mean, std, min, quartiles and max."""
+    numbers = "mean std min q25 q50 q75 max".split()
+    out = []
+    for c, kind in df.dtypes:
+        if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+            got = describe(df, F.col(c)).select(F.col("n"), *(F.lit(None).cast(t).alias(x) for x, t in (("n_unique", "long"), ("top", "string"), ("freq", "long"))), *(F.col(x).cast("double") for x in numbers))
+        else:
+            per = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("k"))
+            most = F.max(F.col("k"))
+            best = per.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.count("*").alias("n_unique"), most.alias("freq"))
+            top = per.join(F.broadcast(best.select("freq")), F.expr("k = freq"), "left_semi").agg(F.min("v").alias("top"))  # one row each
+            got = best.crossJoin(top).select("n", "n_unique", "top", "freq", *(F.lit(None).cast("double").alias(x) for x in numbers))
+        out.append(got.select(F.lit(c).alias("column"), "*"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     """(bin, low, high, n) for ``bins`` bins of equal width from 0, the last closed; empty ones too. Nulls don't count."""
     rows = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("x"))

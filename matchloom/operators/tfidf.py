@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,20 @@ def terms(text: Column, stop: list[str]) -> Column:
     return F.concat(w, pairs)
 
 
+class FrequencyTable:
+    """Frequencies by batch in a folder: a growing corpus is fitted by adding a batch and summing up, never by reading texts again."""
+
+    def __init__(self, spark, path: str, vectorizer: TfIdf):
+        self.spark, self.path, self.vectorizer = spark, path, vectorizer
+
+    def add(self, rows: DataFrame, batch: str) -> None:
+        """A batch added again under its name replaces itself."""
+        self.vectorizer.frequencies(rows).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def fit(self) -> TfIdf:
+        return self.vectorizer.fit_frequencies(self.spark.read.parquet(self.path).drop("batch"))
+
+
 class TfIdf:
     def __init__(self, max_features: int = 100, min_df: int = 2, max_df: float = 0.8, stop: list[str] | None = None):
         self.max_features, self.min_df, self.max_df = max_features, min_df, max_df
@@ -24,10 +40,20 @@ class TfIdf:
     def _counts(self, rows: DataFrame) -> DataFrame:
         return rows.select("id", F.explode(terms(F.col("description"), self.stop)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
+    def frequencies(self, rows: DataFrame) -> DataFrame:
+        """(term, df, cf) of ``rows`` (id, description), and a row of a null term whose df is the number of rows. Those of batches add up."""
+        every = rows.agg(F.lit(None).cast("string").alias("term"), F.count("*").alias("df"), F.lit(0).cast("long").alias("cf"))
+        return self._counts(rows).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).unionByName(every)
+
     def fit(self, rows: DataFrame) -> TfIdf:
         """``vocabulary``: (term, at, idf), alphabetical, of at most ``max_features`` rows."""
-        n = rows.agg(F.count("*").alias("docs"))
-        df = self._counts(rows).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).crossJoin(F.broadcast(n))  # one row
+        return self.fit_frequencies(self.frequencies(rows))
+
+    def fit_frequencies(self, *batches: DataFrame) -> TfIdf:
+        """From :meth:`frequencies` of any number of batches, without their texts."""
+        both = reduce(DataFrame.unionByName, batches).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        n = both.where("term IS NULL").select(F.col("df").alias("docs"))
+        df = both.where("term IS NOT NULL").crossJoin(F.broadcast(n))  # one row
         cut = df.where((F.col("df") >= self.min_df) & (F.col("df") <= self.max_df * F.col("docs"))).orderBy(F.desc("cf"), "term").limit(self.max_features)
         idf = F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1
         self.vocabulary = cut.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("at"), idf.alias("idf"))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..cluster import materialize
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import evaluate as E
@@ -14,8 +16,9 @@ from ..operators import match as M
 from ..operators import profile as P
 from ..operators.knn import KnnMatcher
 from ..operators.labels import PHRASES, ground_truth, phrases, score, sequence_ratio, with_phrases
-from ..operators.matching import Matcher, browse, category_guard, find_matches, matches_for, pages, with_text_vectors
+from ..operators.matching import Matcher, browse, find_matches, matches_for, pages, with_text_vectors
 from ..operators.pairs import PairClassifier, training_pairs
+from ..operators.rankjoin import RankJoin
 from ..operators.tfidf import TfIdf
 from ..sources import sinks
 from ..sources.items import items
@@ -125,9 +128,13 @@ def flt9(s, d):
     return sinks.feature_summary(text_items(s, d))
 
 
-@query("flt8_category_guard", "SELECT (SELECT count(*) FROM lost WHERE category IS NOT NULL) > 0 AND (SELECT count(*) FROM found WHERE category IS NOT NULL) > 0 AS filters")
+@query("flt8_category_guard", """SELECT lost_id, found_id, CAST(rank AS INT) AS rank FROM (SELECT l.id AS lost_id, f.id AS found_id, list_cosine_similarity(l.image, f.image) AS s,
+  row_number() OVER (PARTITION BY l.id ORDER BY list_cosine_similarity(l.image, f.image) DESC, f.id) AS rank FROM lost l CROSS JOIN found f) WHERE rank <= 3 AND s >= 0.25""")
 def flt8(s, d):
-    return s.range(1).select(F.lit(category_guard(items(s, d).select("status", "category"))).alias("filters"))
+    """Found items without categories: the filter is asked for, but there is nothing to filter by."""
+    it = items(s, d)
+    found = it.where("status = 'found'").withColumn("category", F.lit(None).cast("int"))
+    return Matcher(top_k=3, min_similarity=0.25).match(it.where("status = 'lost'"), found).select("lost_id", "found_id", "rank")
 
 
 @query("flt1_flt2_status_labelled", "SELECT id, status FROM items WHERE status = 'lost' AND labelled")
@@ -260,10 +267,19 @@ def api8(s, d):
 @query("api3_api4_combined_matches", f"""{TEXT_SQL} SELECT lost_id, found_id, CAST(rank AS INT) AS rank, round(c, 6) AS similarity, round(i, 6) AS image_similarity, round(t, 6) AS text_similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY lost_id ORDER BY c DESC, found_id) AS rank FROM (SELECT *, 0.6 * i + 0.4 * t AS c FROM both_scores)) WHERE rank <= 5 AND c >= 0.3""")
 def api4(s, d):
-    out = Matcher().run(text_items(s, d))
+    out = Matcher().run(materialize(text_items(s, d).select("id", "category", "status", "image", "text"), "items"))
     return out.select("lost_id", "found_id", "rank", *(r6(c, c) for c in ("similarity", "image_similarity", "text_similarity")))
 
 
+@query("api3_rank_join", f"""{TEXT_SQL} SELECT lost_id, found_id, CAST(rank AS INT) AS rank, round(c, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY lost_id ORDER BY c DESC, found_id) AS rank FROM (SELECT *, 0.6 * i + 0.4 * t AS c FROM both_scores)) WHERE rank <= 5 AND c >= 0.3""")
+def api3_rank_join(s, d):
+    """The same matches from both scores' own lists, which are made longer only where their bound asks for it."""
+    it = materialize(text_items(s, d).select("id", "category", "status", "image", "text"), "items")
+    out = RankJoin({"image": 0.6, "text": 0.4}, 5, 0.3).run(it.where("status = 'lost'"), it.where("status = 'found'"))
+    return out.select("lost_id", "found_id", "rank", r6("similarity", "similarity"))
+
+
 @query("api1_api2_slow_matches", f"""{TEXT_SQL} SELECT lost_id, found_id, CAST(rank AS INT) AS rank, round(c, 6) AS similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY lost_id ORDER BY c DESC, found_id) AS rank FROM (
     SELECT *, CASE WHEN e = 0 AND t > 0 THEN t WHEN t = 0 AND e > 0 THEN e ELSE 0.5 * e + 0.5 * t END AS c FROM (
@@ -336,6 +352,12 @@ def sim7(s, d):
     return pairs.select("lost_id", "found_id", r6(V.dot(F.col("lost_image"), F.col("found_image")), "similarity"))
 
 
+@query("sim7_euclidean_matrix", "SELECT l.id AS lost_id, f.id AS found_id, round(1 / (1 + list_distance(l.image, f.image)), 6) AS similarity FROM lost l CROSS JOIN found f")
+def sim7_euclidean(s, d):
+    pairs = M.candidates(items(s, d).select("id", "category", "status", "ts", "image"), category=False)
+    return pairs.select("lost_id", "found_id", r6(V.euclidean(F.col("lost_image"), F.col("found_image")), "similarity"))
+
+
 @query("sim8_keyword_jaccard", f"SELECT lost_id, found_id, round({MEAN_JACCARD}, 6) AS similarity FROM blocked")
 def sim8(s, d):
     it = items(s, d).withColumn("words", T.keyword_sets(F.col("description"))).select("id", "category", "status", "words")
@@ -538,6 +560,14 @@ def knn(s, d):
     return out.select("lost_id", "found_id", "rank", r6("similarity", "similarity"))
 
 
+@query("jn10_pivot_knn", KNN_SQL + " SELECT lost_id, found_id, CAST(rank AS INT) AS rank, round(1 / (1 + dist), 6) AS similarity FROM rr WHERE rank <= 10 AND lc = fc")
+def pivot_knn(s, d):
+    """Through the index: cells that can't reach the tenth neighbour aren't searched."""
+    it = items(s, d)
+    out = KnnMatcher(10, pivots=True).fit(it.where("status = 'found'")).predict(it.where("status = 'lost'"))
+    return out.select("lost_id", "found_id", "rank", r6("similarity", "similarity"))
+
+
 @query("ml3_training_pairs")
 def ml3(s, d):
     return training_pairs(items(s, d)).select("lost_id", "found_id", "label")
@@ -640,9 +670,16 @@ def agg14(s, d):
     return w.where((F.length("word") > 2) & ~F.col("word").isin(*T.STOP_WORDS)).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(20)
 
 
-@query("prf1_describe")
+def describe_sql() -> str:
+    numbers = lambda c: f"SELECT '{c}' AS \"column\", count({c}) AS n, CAST(NULL AS BIGINT) AS n_unique, CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS min, " + ", ".join(f"round(quantile_cont(CAST({c} AS DOUBLE), {q}), 6) AS q{int(100 * q)}" for q in (0.25, 0.5, 0.75)) + f", CAST(max({c}) AS DOUBLE) AS max FROM items"
+    words = lambda c: f"SELECT '{c}', sum(k), count(*), arg_min(v, (-k, v)), max(k), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT {c} AS v, count(*) AS k FROM items WHERE {c} IS NOT NULL GROUP BY 1)"
+    return " UNION ALL ".join([numbers("id"), numbers("category"), words("status"), words("description")])
+
+
+@query("prf1_describe", describe_sql())
 def prf1(s, d):
-    return items(s, d).select("id", "category", "status", "description").summary()
+    out = P.describe_all(items(s, d).select("id", "category", "status", "description"))
+    return out.select("column", "n", "n_unique", "top", "freq", *(r6(c, c) for c in out.columns[5:]))
 
 
 @query("prf2_null_counts", "SELECT " + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS {c}" for c in ("id", "category", "status", "description")) + " FROM items")
@@ -710,17 +747,20 @@ def prf11(s, d):
     return P.pivot_counts(items(s, d).withColumn("day", F.to_date("ts")), "day", "status", ["lost", "found"]).drop("total")
 
 
-@query("prf12_histogram", """, x AS (SELECT value AS v FROM events WHERE value < 20 OR value > 60), r AS (SELECT min(v) AS lo, max(v) AS hi FROM x),
+@query("prf12_histogram", """, x AS (SELECT value AS v FROM events), r AS (SELECT min(v) AS lo, max(v) AS hi FROM x),
 h AS (SELECT CAST(least(floor((v - lo) * 30 / (hi - lo)), 29) AS BIGINT) AS bin, count(*) AS n FROM x, r GROUP BY 1)
 SELECT CAST(b.bin AS BIGINT) AS bin, coalesce(n, 0) AS n FROM (SELECT unnest(range(30)) AS bin) b LEFT JOIN h ON h.bin = b.bin""")
 def prf12(s, d):
     """Empty bins count too."""
-    return P.histogram(table(s, d, "events").where("value < 20 OR value > 60"), "value", 30).select("bin", "n")
+    return P.histogram(table(s, d, "events"), "value", 30).select("bin", "n")
 
 
-@query("prf13_mean_size", "SELECT lang AS category, round(avg(n_chars % 640), 6) AS mean_width, round(avg(n_chars % 480), 6) AS mean_height FROM documents GROUP BY lang", False)
+@query("prf13_mean_size", """SELECT lang AS category, round(avg(w), 6) AS mean_width, round(avg(h), 6) AS mean_height FROM (
+  SELECT lang, list_max([length(x) FOR x IN string_split(text, chr(10))]) AS w, len(string_split(text, chr(10))) AS h FROM documents) GROUP BY lang""", False)
 def prf13(s, d):
-    rows = table(s, d, "documents").select(F.col("lang").alias("category"), (F.col("n_chars") % 640).alias("width"), (F.col("n_chars") % 480).alias("height"))
+    """There are no images in the tables: a text's longest line and its number of lines stand for width and height."""
+    lines = F.split("text", "\n")
+    rows = table(s, d, "documents").select(F.col("lang").alias("category"), F.array_max(F.transform(lines, F.length)).alias("width"), F.size(lines).alias("height"))
     return P.mean_size(rows).select("category", r6("mean_width", "mean_width"), r6("mean_height", "mean_height"))
 
 
@@ -816,6 +856,15 @@ def ev16_svm(s, d):
     return rounded(E.comparison("svm", PairClassifier().fit(training_pairs(it)).predict(it), truth(s, d)))
 
 
+@query("ev16_three_models")
+def ev16_all(s, d):
+    """All three models in one table; the classifier's fit has no SQL."""
+    it, right = items(s, d), truth(s, d)
+    found, lost = it.where("status = 'found'"), it.where("status = 'lost'")
+    models = {"similarity": M.image_matches(it), "knn": KnnMatcher(50).fit(found).predict(lost), "svm": PairClassifier().fit(training_pairs(it)).predict(it)}
+    return rounded(reduce(DataFrame.unionByName, (E.comparison(name, rows, right) for name, rows in models.items())))
+
+
 @query("ml9_first_items")
 def ml9(s, d):
     """The best three of each learned model for the first three lost items."""

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .entries import json_entries
+
 METADATA = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "filename", "category", "timestamp", "status", "description")] + [T.StructField("labelled", T.BooleanType())])
 MATCH = "rank int, found_id string, similarity double"
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of items. Fails if the first items lack a column altogether."""
-    df = spark.read.schema(METADATA).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return df
+    """A JSON array of items, in parts if it is large. An entry that isn't an item's JSON fails the job."""
+    one = F.from_json("text", METADATA, {"mode": "FAILFAST"})
+    return json_entries(spark, path).select(one.alias("x")).select("x.*")
 
 
 def from_metadata(metadata: DataFrame) -> DataFrame:
@@ -28,18 +30,10 @@ def normalize_category(category):
     return F.regexp_replace(category, "_", "-")
 
 
-def _entries(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """The entries of a JSON object, in one file or in a line per entry as :func:`.sinks.save_map` writes it."""
-    line = F.regexp_replace(F.trim("value"), r"(^\{)|(,$)|(\}$)", "")
-    whole = spark.read.text(path, lineSep="\n")
-    text = whole.where(F.length(F.trim("value")) > 1).select(F.concat(F.lit("{"), line, F.lit("}")).alias("value"))
-    return text.select(F.explode(F.from_json("value", f"map<string, {value}>")).alias("key", "entry"))
-
-
 def read_matches(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """``{lost_id: [{rank, found_id, similarity}]}`` as rows (lost_id, rank, found_id, similarity).
+    """``{lost_id: [{rank, found_id, similarity}]}`` as rows (lost_id, rank, found_id, similarity). ``path`` is a file or a folder of parts.
 
-    With ``lines`` the file has a line per lost item, as :func:`.sinks.save_matches` writes it, and is read in parts.
+    With ``lines`` there is a line per lost item, as :func:`.sinks.save_matches` writes it, so that one pass is enough.
     """
     kind = "array<struct<rank: int, found_id: string, similarity: double>>"
     return _map(spark, path, kind, lines).select(F.col("key").alias("lost_id"), F.explode("entry").alias("x")).select("lost_id", "x.*")
@@ -52,9 +46,12 @@ def read_ground_truth(spark: SparkSession, path: str, lines: bool = False) -> Da
 
 def _map(spark: SparkSession, path: str, kind: str, lines: bool) -> DataFrame:
     if lines:
-        return _entries(spark, path, kind)
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string, {kind}>").alias("m"))
-    return raw.select(F.explode("m").alias("key", "entry"))
+        line = F.regexp_replace(F.trim("value"), r"(^\{)|(,$)|(\}$)", "")
+        text = spark.read.text(path, lineSep="\n").where(F.length(F.trim("value")) > 1).select(line.alias("text"))
+    else:
+        text = json_entries(spark, path)
+    one = F.concat(F.lit("{"), F.col("text"), F.lit("}"))
+    return text.select(F.explode(F.from_json(one, f"map<string, {kind}>")).alias("key", "entry"))
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:

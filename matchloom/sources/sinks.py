@@ -42,14 +42,17 @@ def matches_json(matches: DataFrame) -> DataFrame:
 
 
 def save_map(entries: DataFrame, path: str) -> None:
-    """(key, value: JSON text) as one JSON object, a line per entry: one file, as the format asks; its lines are made in parallel."""
+    """(key, value: JSON text) as one JSON object, a line per entry, by key: part files that make it up one after the other, written in parallel.
+
+    A small map is one part.
+    """
     entry = F.concat(F.to_json(F.struct(F.col("key").cast("string").alias("k"))), F.lit(""))
     line = F.concat(F.expr("substring(j, 6, length(j) - 6)"), F.lit(": "), F.col("value"))
     lines = entries.withColumn("j", entry).select(F.col("key").cast("string").alias("key"), line.alias("line"))
     last = lines.agg(F.max("key").alias("last"))
     body = lines.crossJoin(F.broadcast(last)).select(F.lit(1).alias("o"), "key", F.concat("line", F.when(F.col("key") < F.col("last"), ",").otherwise("")).alias("value"))  # one row
     ends = entries.sparkSession.createDataFrame([(0, "", "{"), (2, "", "}")], "o int, key string, value string")
-    body.unionByName(ends).orderBy("o", "key").select("value").coalesce(1).write.mode("overwrite").text(path)
+    body.unionByName(ends).orderBy("o", "key").select("value").write.mode("overwrite").text(path)
 
 
 def save_matches(matches: DataFrame, path: str) -> None:
