@@ -1,86 +1,19 @@
-"""What every operator needs of the cluster: shipped code, the shared folder, skew-proof joins."""
+"""What these operators need of the cluster: the library's own shipping and written tables, skew-proof joins, names of rows."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from contextlib import contextmanager
-from pathlib import Path
-from weakref import WeakKeyDictionary
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import drop, materialize, shared_dir, ship, shuffles_freed
+
+__all__ = ["HOT_ROWS", "HOT_SHARE", "SMALL_ROWS", "drop", "lookup", "materialize", "row_hash", "shared_dir", "ship", "shuffles_freed"]
+
 #: Up to this many rows on the many side, a join treats no key as hot: one task could hold them all.
 SMALL_ROWS = 10_000
 #: A key is hot if it holds more than 1 / HOT_SHARE of the rows and more than HOT_ROWS: fewer than HOT_SHARE keys can be hot.
 HOT_SHARE, HOT_ROWS = 20_000, 1000
 
-_shipped: set[str] = set()
-#: The folder of each materialized table.
-_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parent.parent
-    path = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, os.path.join(root.name, p.relative_to(root)))
-    sc.addPyFile(str(path))
-    _shipped.add(sc.applicationId)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share. Only a local session may do without."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = Path(tempfile.gettempdir(), "matchloom-checkpoints").as_uri()
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/matchloom-{uuid.uuid4().hex}"
-
-
-@contextmanager
-def shuffles_freed(spark: SparkSession):
-    """Within, Spark deletes an execution's shuffle files as soon as it has ended.
-
-    Only for what is written or counted at once: what follows reads the written table and never the shuffle,
-    not even after losing executors.
-    """
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def materialize(df: DataFrame, tag: str = "rows", **options: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors. ``options`` go to the writer."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}"
-    with shuffles_freed(df.sparkSession):
-        df.write.options(**options).parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
-    _written[table] = path
-    return table
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete materialized tables that nothing reads any more."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_written.pop(df)).getParent()
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def lookup(many: DataFrame, unique: DataFrame, key: str | list[str], count: str, total: int, small: int = SMALL_ROWS) -> DataFrame:
     """Inner join of ``many`` with ``unique`` (one row per ``key``; ``count`` says how many rows of ``many`` it has).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import lookup, materialize
+from .cluster import drop, lookup, materialize
 
 #: Edges are two longs: this many fit one task with room to spare, so hubs are treated as hot only beyond.
 SMALL_EDGES = 1_000_000
@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """``(node, root)`` for every node that has an edge; ``root`` is the component's smallest node.
 
     Edges are two long columns; direction, repeats and loops don't matter, nulls are ignored.
-    Each round is written to the shared folder. Nothing but two numbers comes to the driver.
+    Each round is written to the shared folder, where it replaces the one before. Nothing but two numbers comes to the driver.
     """
     hi, lo = F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")
     e = materialize(edges.where(F.col(a) != F.col(b)).select(hi, lo).distinct(), "edges")
@@ -46,4 +46,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
         star = lookup(large, least, "hi", "n", 2 * n, SMALL_EDGES)
         small = _each(star, ("lo", "m"), ("hi", "m")).toDF("hi", "lo").where("hi != lo")
-        e = materialize(small.distinct(), "small")
+        new = materialize(small.distinct(), "small")
+        drop(e, large)
+        e = new
