@@ -365,7 +365,8 @@ def remove_repeats(docs: DataFrame, window: int = 200, keep_text: bool = False,
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rh", row_hash())
     found = covers(rows, window, **sizes)
-    per_doc = found.groupBy("doc_id", "rh").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    # Copies of a row find the same spans.
+    per_doc = found.groupBy("doc_id", "rh").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     joined = rows.join(per_doc.hint("shuffle_hash").withColumnsRenamed({"doc_id": "d", "rh": "r"}), F.expr("doc_id <=> d AND rh = r"), "left")
     more = ", spans array<struct<start: long, end: long>>, kept binary" if keep_text else ""
 
