@@ -1,10 +1,11 @@
 """License scan with a positional rare-token index, in DataFrame functions only.
 
-The index is a table of postings, one per template: its anchor, the word of its mandatory key phrase with the highest IDF over
-the corpus, the anchor's place, the key phrase, and the notice's other words with their places. It's one literal, whatever the
-number of templates. A file's licence words are looked up in it; each place of an anchor, shifted by the anchor's place in the
-phrase, is a candidate alignment. An alignment stands if the whole key phrase is found there, and the notice's other
-words at their places relative to it give the score. Every place of a key phrase holds its anchor, so none is missed.
+The index is a table of postings by word: a template is posted under the word of its mandatory key phrase with the highest IDF
+over the corpus, with the word's place, the key phrase, and the notice's other words with their places. A file is split into
+words; those it has of the index's are kept with the words around them and looked up by a broadcast join, whose work follows the
+hits and not the number of templates. Each posting shifted by its word's place is a candidate alignment. It stands if the whole key phrase
+is found there, and the notice's other words at their places relative to it give the score. Every place of a key
+phrase holds its rarest word, so none is missed.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import materialize
+from .cluster import materialize, row_hash
 
 #: What stands between words, once A-Z are lower-cased. Splitting there is much faster than extracting words.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -85,38 +86,39 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(lower, BREAK), lambda w: w != "")
 
 
-def word_places(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """``(doc_id, n_words, known, words)``: known are a file's different licence words, those of key phrases.
-
-    words are its words in order if it has all words of any key phrase, else null: nothing can stand in such a file.
-    """
-    keys = [t.words[t.start : t.stop] for t in templates]
-    vocabulary = sorted({w for k in keys for w in k})
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words(F.col("text")).alias("words"))
-    known = words.select("doc_id", "words", F.array_intersect(F.col("words"), F.array(*map(F.lit, vocabulary))).alias("known"))
-    phrases = F.from_json(F.lit(json.dumps([list(k) for k in keys])), "array<array<string>>")
-    whole = F.exists(phrases, lambda k: F.size(F.array_except(k, F.col("known"))) == 0)
-    return known.select("doc_id", F.size("words").cast("long").alias("n_words"), "known", F.when((F.size("known") > 0) & whole, F.col("words")).alias("words"))
-
-
-def rarity(places: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[str, int]:
+def rarity(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[str, int]:
     """Document frequencies of the key phrases' words: a row per word comes to the driver, whatever the input."""
-    counts = places.select(F.explode("known").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    vocabulary = sorted({w for t in templates for w in t.words[t.start : t.stop]})
+    known = F.array_distinct(F.filter(_words(F.col("text")), lambda w: w.isin(vocabulary)))
+    counts = docs.select(F.explode(known).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     return {r["word"]: r["n"] for r in counts.collect()}
 
 
 POSTINGS = "array<struct<k: int, anchor: string, place: int, label: string, base: boolean, key: array<string>, n: int, rest: array<struct<away: int, word: string>>>>"
 
 
-def index(counts: dict[str, int], templates: tuple[Template, ...] = TEMPLATES) -> Column:
-    """The templates' postings by anchor, as one literal. ``away`` is a word's place relative to the key phrase."""
+def index(counts: dict[str, int], templates: tuple[Template, ...] = TEMPLATES) -> list[dict]:
+    """The postings. ``away`` is a word's place relative to the key phrase."""
     rows = []
     for k, t in enumerate(templates):
         key = t.words[t.start : t.stop]
         place = min(range(len(key)), key=lambda i: (counts.get(key[i], 0), key[i]))
         rest = [{"away": i - t.start, "word": w} for i, w in enumerate(t.words) if not t.start <= i < t.stop]
         rows.append({"k": k, "anchor": key[place], "place": place, "label": t.label, "base": t.base, "key": list(key), "n": len(t.words), "rest": rest})
-    return F.from_json(F.lit(json.dumps(rows)), POSTINGS)
+    return rows
+
+
+def word_hits(docs: DataFrame, postings: list[dict]) -> DataFrame:
+    """``(doc_id, rh, n_words, hits)``: the places of anchors, each with the words around it as far as any template reaches, from ``first`` on."""
+    anchors = sorted({p["anchor"] for p in postings})
+    # How far before and after an anchor a template's words stand.
+    before = max(p["place"] - min([0, *(r["away"] for r in p["rest"])]) for p in postings)
+    after = max(max([len(p["key"]) - 1, *(r["away"] for r in p["rest"])]) - p["place"] for p in postings)
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("rh"), _words(F.col("text")).alias("words"))
+    placed = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(anchors))
+    first = lambda x: F.greatest(x["at"] - before, F.lit(0))
+    near = lambda x: F.struct(x["word"].alias("word"), x["at"].alias("at"), first(x).alias("first"), F.slice("words", first(x) + 1, x["at"] - first(x) + after + 1).alias("near"))
+    return words.select("doc_id", "rh", F.size("words").cast("long").alias("n_words"), F.transform(placed, near).alias("hits"))
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -124,34 +126,33 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
 
     n_base counts all places of base key phrases; first_word and last_word are their smallest and largest start,
     null without any. labels has every template found. score is the best template's share of words found at
-    its place at any of its alignments, 0 without any template, 1 for a whole one. Null texts count as empty;
-    rows stay as they are otherwise: no shuffle of texts, whatever ties or copies there are.
+    its place at any of its alignments, 0 without any template, 1 for a whole one. Null texts count as empty, an empty table
+    gives no rows, other columns are ignored. No text is shuffled; rows equal in doc_id and text have the same result.
     """
-    places = materialize(word_places(docs, templates), "places")
-    counts = rarity(places, templates)
-    postings = index(counts, templates)
-    anchors = sorted({min(t.words[t.start : t.stop], key=lambda w: (counts.get(w, 0), w)) for t in templates})
-    placed = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(anchors))
-    hits = places.withColumn("hits", F.when(F.col("words").isNotNull(), placed))
-    lookup = lambda h: F.transform(F.filter(postings, lambda p: p["anchor"] == h["word"]), lambda p: F.struct(p["k"].alias("k"), p["key"].alias("key"), p["base"].alias("base"), (h["at"] - p["place"]).alias("at")))
-    stands = lambda c: (c["at"] >= 0) & (F.slice(F.col("words"), F.greatest(c["at"], F.lit(0)) + 1, F.size(c["key"])) == c["key"])
-    found = hits.withColumn("found", F.filter(F.flatten(F.transform("hits", lookup)), stands)).drop("hits")
-    of = lambda p: F.filter("found", lambda x: x["k"] == p["k"])
-    there = lambda p, r: F.exists(of(p), lambda x: F.coalesce(F.get(F.col("words"), x["at"] + r["away"]) == r["word"], F.lit(False)))
-    share = lambda p: (F.size(p["key"]) + F.size(F.filter(p["rest"], lambda r: there(p, r)))) / p["n"].cast("double")
-    matched = F.transform(F.filter(postings, lambda p: F.size(of(p)) > 0), lambda p: F.struct(p["label"].alias("label"), p["base"].alias("base"), share(p).alias("share")))
-    named = found.withColumns({"matched": F.when(F.coalesce(F.size("found"), F.lit(0)) > 0, matched), "starts": F.transform(F.filter("found", lambda x: x["base"]), lambda x: x["at"])})
-    labels = lambda rows: F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(rows, lambda m: m["label"]))), ","), F.lit(""))
-    return named.select(
-        "doc_id",
-        "n_words",
-        F.coalesce(F.size("starts"), F.lit(0)).cast("long").alias("n_base"),
-        F.array_min("starts").cast("long").alias("first_word"),
-        F.array_max("starts").cast("long").alias("last_word"),
-        labels(F.filter("matched", lambda m: m["base"])).alias("base_labels"),
-        labels(F.col("matched")).alias("labels"),
-        F.round(F.coalesce(F.array_max(F.transform("matched", lambda m: m["share"])), F.lit(0.0)), 6).alias("score"),
+    postings = index(rarity(docs, templates), templates)
+    places = materialize(word_hits(docs, postings), "places")
+    # As many rows as templates.
+    table = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(postings)), POSTINGS)))
+    hits = places.select("doc_id", "rh", F.explode("hits").alias("h")).select("doc_id", "rh", "h.*").withColumnRenamed("word", "anchor")
+    found = hits.join(F.broadcast(table), "anchor").withColumn("at", F.col("at") - F.col("place"))
+    word = lambda away: F.get("near", F.col("at") + away - F.col("first"))
+    stands = (F.col("at") >= F.col("first")) & (F.slice("near", F.greatest(F.col("at") - F.col("first"), F.lit(0)) + 1, F.size("key")) == F.col("key"))
+    there = F.transform(F.filter(F.transform("rest", lambda r, i: F.struct((word(r["away"]) == r["word"]).alias("same"), i.alias("i"))), lambda x: x["same"]), lambda x: x["i"])
+    # A row given twice has its places twice.
+    standing = found.where(stands).select("doc_id", "rh", "k", "label", "base", "n", F.size("key").alias("size"), "at", there.alias("there")).dropDuplicates(["doc_id", "rh", "k", "at"])
+    per = standing.groupBy("doc_id", "rh", "k", "label", "base", "n", "size").agg(
+        F.count("*").alias("places"), F.min("at").alias("low"), F.max("at").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_set("there")))).alias("more")
     )
+    base = lambda c: F.when(F.col("base"), F.col(c))
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    rated = per.groupBy("doc_id", "rh").agg(
+        F.sum(base("places")).alias("n_base"), F.min(base("low")).alias("first_word"), F.max(base("high")).alias("last_word"),
+        joined(base("label")).alias("base_labels"), joined("label").alias("labels"), F.max((F.col("size") + F.col("more")) / F.col("n").cast("double")).alias("score"),
+    ).withColumnsRenamed({"doc_id": "d", "rh": "r"})
+    return places.join(rated, F.expr("doc_id <=> d AND rh = r"), "left").select(
+        "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
+        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"),
+    )
 
 
 def licenses_sql(templates: tuple[Template, ...] = TEMPLATES) -> str:

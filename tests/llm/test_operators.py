@@ -87,6 +87,36 @@ def test_license_scan(docs):
         assert (r["score"] > 0) == bool(r["labels"]) and 0 <= r["score"] <= 1
 
 
+def test_license_index_with_many_templates(spark, sf):
+    """500 templates of which the texts hold some: the same places as by search, and work that follows the hits."""
+    rng = random.Random(12)
+    words = [f"term{i}" for i in range(300)] + ["the", "of", "under", "license"]
+    made = [" ".join(rng.choice(words) for _ in range(rng.randrange(6, 14))) for _ in range(500)]
+    templates = tuple(licenses.template(f"t{i}", t, " ".join(t.split()[1:5])) for i, t in enumerate(made))
+    texts = []
+    for i in range(60):
+        parts = [" ".join(rng.choice(words) for _ in range(20))]
+        for t in rng.sample(made, i % 4):
+            w = t.split()
+            if i % 3 == 0:
+                w[-1] = "damaged"
+            parts += [" ".join(w), " ".join(rng.choice(words) for _ in range(5))]
+        texts.append(" ".join(parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(df, templates).collect()}
+    for i, text in enumerate(texts):
+        w, found, best = text.split(), set(), 0.0
+        for t in templates:
+            n = t.stop - t.start
+            at = [k for k in range(len(w) - n + 1) if tuple(w[k : k + n]) == t.words[t.start : t.stop]]
+            if at:
+                found.add(t.label)
+                hit = {j for k in at for j, x in enumerate(t.words) if 0 <= k + j - t.start < len(w) and w[k + j - t.start] == x}
+                best = max(best, len(hit | set(range(t.start, t.stop))) / len(t.words))
+        assert got[i] == (",".join(sorted(found)), pytest.approx(best, abs=1e-6))
+    assert any(0 < score < 1 for _, score in got.values())
+
+
 def test_quality(docs):
     out = []
     for i, t in texts_of(docs):
