@@ -277,3 +277,70 @@ def test_leaving_rows_out_keeps_links():
 def test_queries(spark, sf):
     for name, key in (("op11_conversation_repair", "conv_id"), ("op12_periodic_runs", "doc_id"), ("op13_embedding_dedup", "vec_id")):
         assert key in queries.queries()[name](spark, sf).columns
+
+
+# --- texts beyond every piece size ---------------------------------------------------------------------------------
+
+
+def letters(rng, n):
+    return bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz ", k=n)).decode()
+
+
+def test_suffix_dedup_beyond_its_pieces(spark):
+    """Two texts of over 4 MB share a passage that lies across the border of a piece: it goes from both, and nothing else."""
+    from matchloom.llm import suffix_dedup
+
+    rng = random.Random(21)
+    passage = letters(rng, 1500)
+    a = letters(rng, suffix_dedup.PIECE - 700) + "1" + passage + "2" + letters(rng, 400_000)
+    b = "3" + passage + "4" + letters(rng, suffix_dedup.PIECE + 100_000)
+    df = spark.createDataFrame([(1, a), (2, b), (3, letters(rng, 5000))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(df).collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got[1] == (len(a), 1500, 1, digest(a.replace(passage, ""))) and got[2] == (len(b), 1500, 1, digest(b.replace(passage, ""))) and got[3][1] == 0
+
+
+def test_simhash_beyond_its_pieces(spark):
+    import xxhash
+
+    from matchloom.llm import simhash
+
+    rng = random.Random(22)
+    words = [f"w{rng.randrange(5000)}" for _ in range(150_000)]
+    other = list(words)
+    other[70_000] = "changed"
+    df = spark.createDataFrame([(1, " ".join(words)), (2, "\n".join(other).upper())], "doc_id long, text string")
+    votes = np.zeros(64, np.int64)
+    for i in range(len(words) - 2):
+        votes += (xxhash.xxh64_intdigest(" ".join(words[i : i + 3]), 42) >> np.arange(64, dtype=np.uint64).astype(object) & 1).astype(np.int64)
+    want = sum(1 << k for k in range(64) if 2 * votes[k] > len(words) - 2)
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.simhash_components(df).collect()}
+    assert got[1] == (f"{want:016x}", 1) and got[2][1] == 1
+
+
+def test_line_dedup_beyond_its_pieces(spark):
+    """Lines of over 1 MB: the copy and the near copy go, the other one stays."""
+    from matchloom.llm import line_dedup
+
+    rng = random.Random(23)
+    line = letters(rng, 1_200_000)
+    near = line[:500_000] + "changed here" + line[500_010:]
+    other = letters(rng, 1_100_000)
+    df = spark.createDataFrame([(1, line), (2, "short one\n" + line), (3, near), (4, other)], "doc_id long, text string")
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.line_report(df).collect()}
+    assert got == {1: [], 2: [1], 3: [0], 4: []}
+
+
+def test_long_rows(spark):
+    """A conversation with a text of 5 MB, and a document of a million words that repeats itself at its end."""
+    rng = random.Random(24)
+    text = letters(rng, 5_000_000).strip() + "."
+    rows = [(4, 1, "user", text), (4, 2, "assistant", "Yes."), (4, 3, "user", text)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    same([tuple(r) for r in conversations.repair_conversations(df).collect()], brute_repair(rows))
+    words = [f"w{rng.randrange(100_000)}" for _ in range(700_000)]
+    tail = [f"v{i}" for i in range(90_000)]
+    long = spark.createDataFrame([(1, " ".join(words + tail * 4))], "doc_id long, text string")
+    got = runs.detect_runs(long).first()
+    assert (got["n_runs"], got["start"], got["length"], got["period"], got["exponent_milli"]) == (1, 700_000, 360_000, 90_000, 4000)
+    assert got["collapsed_sha256"] == hashlib.sha256(" ".join(words + tail).encode()).hexdigest()
