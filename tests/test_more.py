@@ -422,3 +422,32 @@ def test_best_k_scores_in_strips(spark, monkeypatch):
     want = run(4096)
     monkeypatch.setattr(blocks, "STRIP", 7)
     assert run(4096) == want and run(11) == want
+
+
+# --- models side by side -----------------------------------------------------------------------------------------
+
+
+def test_three_models_in_one_table(spark, sf):
+    """The first two rows are those that have SQL; the third follows from the classifier's own matches."""
+    from matchloom.operators.pairs import training_pairs
+    from matchloom.plans import catalog
+    from matchloom.sources.items import items
+
+    three = {r["model"]: r for r in catalog.QUERIES["ev16_three_models"](spark, sf).collect()}
+    assert {r["model"]: r for r in catalog.QUERIES["ev16_comparison"](spark, sf).collect()} == {k: three[k] for k in ("similarity", "knn")}
+    it, right = items(spark, sf), {r["lost_id"]: r["found_id"] for r in catalog.truth(spark, sf).collect()}
+    svm = PairClassifier().fit(training_pairs(it)).predict(it).collect()
+    place = {r["lost_id"]: r["rank"] for r in svm if right.get(r["lost_id"]) == r["found_id"]}
+    at = [place.get(k) for k in right]
+    row, scores = three["svm"], np.array([r["similarity"] for r in svm])
+    assert row["total_items"] == len(at) and row["mrr"] == pytest.approx(np.mean([1 / p if p else 0 for p in at]), abs=1e-3)
+    for k in (1, 3, 5):
+        assert row[f"recall_at_{k}"] == pytest.approx(np.mean([bool(p and p <= k) for p in at]), abs=1e-3)
+    assert row["mean_similarity"] == pytest.approx(scores.mean(), abs=1e-3) and row["median_similarity"] == pytest.approx(np.median(scores), abs=1e-3) and scores.min() >= 0 and scores.max() <= 1
+    # The models' best three for the first three lost items are those of all matches.
+    first = catalog.QUERIES["ml9_first_items"](spark, sf).collect()
+    few = sorted({r["lost_id"] for r in first})
+    assert len(few) == 3
+    for name in few:
+        want = [r["found_id"] for r in sorted((r for r in svm if r["lost_id"] == name), key=lambda r: r["rank"])[:3]]
+        assert [r["found_id"] for r in sorted((r for r in first if r["lost_id"] == name and r["model"] == "svm"), key=lambda r: r["rank"])] == want
