@@ -139,7 +139,7 @@ def _tables(rows: DataFrame, threshold: float, block: int) -> tuple[DataFrame, D
     dims = size["dims"] or 0
     block = max(1, min(block, NUMBERS // max(1, dims)))
     parts = max(1, math.ceil(size["n"] / block))
-    sample = rows.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(SAMPLE).select("v").collect()  # bounded
+    sample = rows.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(max(1, min(SAMPLE, NUMBERS // (4 * max(1, dims))))).select("v").collect()  # 8 MB at most
     padded = np.zeros((len(sample), dims))
     for r, x in zip(padded, sample):
         r[: len(x["v"])] = x["v"]
