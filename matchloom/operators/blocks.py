@@ -65,13 +65,15 @@ def similarities(a: pd.Series, b: pd.Series, method: str = "cosine") -> np.ndarr
 def dealt(lost: DataFrame, found: DataFrame, by: str | None, block: int) -> tuple[DataFrame, DataFrame]:
     """Both sides with ``_key``, ``_l`` and ``_f``: rows of a key meet all of the other side where these three are equal.
 
-    Rows of a key that the other side lacks go. Null keys are one key.
+    Null keys are one key. Where no key has more rows than a block on either side, nothing is dealt; else rows of a key that the other side lacks go.
     """
     key = F.col(by) if by else F.lit(0)
     size = lambda df, n: df.groupBy(key.alias("_k")).agg(F.ceil(F.count("*") / block).alias(n))
-    f = size(found, "_nf").withColumnRenamed("_k", "_g")
+    l, f = size(lost, "_nl"), size(found, "_nf")
+    if l.select("_nl").unionByName(f.select(F.col("_nf").alias("_nl"))).where("_nl > 1").isEmpty():
+        return tuple(df.withColumns({"_key": key, "_l": F.lit(0), "_f": F.lit(0)}) for df in (lost, found))
     # Both sides may come from one table: a row per key, joined where both keys are null too.
-    blocks = size(lost, "_nl").join(f, F.expr("_k <=> _g")).drop("_g")
+    blocks = l.join(f.withColumnRenamed("_k", "_g"), F.expr("_k <=> _g")).drop("_g")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
     out = []
