@@ -122,7 +122,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep_ids: bool = False) -> Da
     """Per row of ``docs`` (doc_id, text): n_tokens, digests of ids and of the decoded text; with ``keep_ids`` both themselves.
 
     Null and empty texts give no tokens and an empty decoded text. doc_id may be null or repeated; there is
-    one row out per row in, without a shuffle. Other columns of ``docs`` are ignored.
+    one row out per row in, without a shuffle, and none for an empty table. Other columns of ``docs`` are ignored, whatever their names.
     """
     ship(docs.sparkSession)
     more = ", ids array<int>, decoded string" if keep_ids else ""

@@ -96,6 +96,9 @@ class DigestIndex:
 
 
 def exact_dedup(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """:meth:`DigestIndex.add` on a fresh index in the shared folder."""
+    """:meth:`DigestIndex.add` on a fresh index in the shared folder.
+
+    Null texts count as empty. An empty table gives no rows; columns besides doc_id and text are ignored, whatever their names.
+    """
     spark = docs.sparkSession
     return DigestIndex(spark, f"{shared_dir(spark)}/index", buckets).add(docs)

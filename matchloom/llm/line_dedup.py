@@ -400,7 +400,10 @@ def removed_lines(docs: DataFrame, direct: int = DIRECT) -> DataFrame:
 
 
 def line_report(docs: DataFrame, direct: int = DIRECT) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_lines (not blank), n_removed, removed (line numbers) and components (of these lines)."""
+    """Per row of ``docs``: doc_id, n_lines (not blank), n_removed, removed (line numbers) and components (of these lines).
+
+    Null and empty texts have no lines. An empty table gives no rows; columns besides doc_id and text are ignored, whatever their names.
+    """
     removed = removed_lines(docs, direct)
     filled = r"(?dm)^[\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D]"
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("rh"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(filled)).alias("n_lines"))
@@ -412,7 +415,10 @@ def line_report(docs: DataFrame, direct: int = DIRECT) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, direct: int = DIRECT) -> DataFrame:
-    """``docs`` with its columns, without the lines that went; a document that has lost all of them keeps its row with an empty text."""
+    """``docs`` with its columns, without the lines that went; a document that has lost all of them keeps its row with an empty text.
+
+    Null texts stay null. An empty table stays empty; columns may have any names.
+    """
     removed = removed_lines(docs, direct).toDF("d", "r", "gone", "components").drop("components")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("k"), row_hash().alias("h"))
     lines = F.split("row.text", "\n")

@@ -88,7 +88,8 @@ def rate_quality(
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ratio, n_chunks, n_chunks_outside.
 
     With ``keep_columns`` the rows of ``docs`` that are kept, with their own columns, instead. Null texts have no
-    words and fail. Every row is judged alone: no shuffle, and copies or null ids make no difference.
+    words and fail. Every row is judged alone: no shuffle, and copies or null ids make no difference. An empty table
+    gives no rows; columns besides doc_id and text are ignored without ``keep_columns``, whatever their names.
     """
     ship(docs.sparkSession)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "n_chunks", "n_chunks_outside"]

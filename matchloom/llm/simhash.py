@@ -203,7 +203,7 @@ def simhash_components(docs: DataFrame, radius: int = 3, shingle: int = 3, direc
     component_id is the smallest doc_id that links of at most ``radius`` differing bits reach. Null and empty
     texts have fingerprint zero and link like any other. Null doc_ids are never the smallest: component_id is
     null only where a component has no other. Repeated rows each give a row. Equal fingerprints are one node,
-    so copies cost nothing beyond a count.
+    so copies cost nothing beyond a count. An empty table gives no rows; other columns are ignored, whatever their names.
     """
     found = _components(docs, radius, shingle, direct)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -214,7 +214,7 @@ def keep_one_each(docs: DataFrame, radius: int = 3, shingle: int = 5, direct: in
 
     Rows equal in doc_id and text are one document given twice, and one of them stays; so does each different
     text with the same smallest doc_id. A component of null doc_ids only keeps its different texts.
-    ``similar`` also links texts by :func:`similar_links`.
+    ``similar`` also links texts by :func:`similar_links`. An empty table stays empty; columns may have any names.
     """
     found = materialize(_components(docs, radius, shingle, direct, similar).select("doc_id", "rh", "component_id"), "components")
     keys = found.groupBy("doc_id", "rh").agg(F.count("*").alias("times"), F.first("component_id").alias("component_id")).where("component_id <=> doc_id")

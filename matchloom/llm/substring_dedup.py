@@ -171,7 +171,10 @@ def substring_report(docs: DataFrame, min_words: int = MIN_WORDS, runs: bool = F
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
-    """``docs`` with its columns and the removed units cut from ``text``; null texts stay null. ``runs`` as in :func:`removed_units`."""
+    """``docs`` with its columns and the removed units cut from ``text``; null texts stay null. ``runs`` as in :func:`removed_units`.
+
+    An empty table stays empty; columns may have any names.
+    """
     joined = _cut_rows(docs, min_words, runs)
     names = docs.columns
     at = names.index("text")

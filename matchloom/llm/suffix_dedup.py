@@ -360,7 +360,8 @@ def remove_repeats(docs: DataFrame, window: int = 200, keep_text: bool = False,
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep_text`` also spans and the kept bytes.
 
     Null texts count as empty, shorter ones than ``window`` bytes have nothing removed. Rows equal in doc_id and text
-    repeat each other like any two texts, so both lose all they have in windows. Other columns are ignored.
+    repeat each other like any two texts, so both lose all they have in windows. An empty table gives no rows; other columns are
+    ignored, whatever their names.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rh", row_hash())

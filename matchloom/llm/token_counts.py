@@ -196,7 +196,10 @@ def apply_edits(rows: DataFrame, tokenizer: str, leaf: int = LEAF, keep_trees: b
 
 
 def counted_sample(docs: DataFrame, tokenizer: str, leaf: int = LEAF) -> DataFrame:
-    """:func:`sample_edits` counted from trees that are written once and read back."""
+    """:func:`sample_edits` counted from trees that are written once and read back.
+
+    Null texts count as empty. An empty table gives no rows; columns besides doc_id and text are ignored, whatever their names.
+    """
     return apply_edits(sample_edits(materialize(token_trees(docs, tokenizer, leaf), "trees")), tokenizer, leaf)
 
 
