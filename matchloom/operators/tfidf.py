@@ -56,7 +56,9 @@ class TfIdf:
         df = both.where("term IS NOT NULL").crossJoin(F.broadcast(n))  # one row
         cut = df.where((F.col("df") >= self.min_df) & (F.col("df") <= self.max_df * F.col("docs"))).orderBy(F.desc("cf"), "term").limit(self.max_features)
         idf = F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1
-        self.vocabulary = cut.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("at"), idf.alias("idf"))
+        made = cut.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("at"), idf.alias("idf"))
+        # As many rows as features: what is transformed later doesn't count the corpus again.
+        self.vocabulary = cut.sparkSession.createDataFrame(made.collect(), made.schema)
         return self
 
     def transform(self, rows: DataFrame) -> DataFrame:

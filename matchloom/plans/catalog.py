@@ -114,6 +114,11 @@ def text_items(s, d):
     return with_text_vectors(it, TfIdf().fit(it.select("id", "description").where("description IS NOT NULL")))
 
 
+def stored_text_items(s, d):
+    """For queries that read them several times."""
+    return materialize(text_items(s, d), "items")
+
+
 # --- sources, projections, filters -------------------------------------------------------------------------------
 
 
@@ -242,14 +247,14 @@ def jn4(s, d):
   SELECT lost_id, c, row_number() OVER (ORDER BY c DESC, lost_id) AS rank FROM (SELECT lost_id, 0.6 * i + 0.4 * t AS c FROM both_scores WHERE found_id = 11)) WHERE rank <= 5 AND c >= 0.3""")
 def api6_found(s, d):
     """A new found item against all lost ones."""
-    it = text_items(s, d)
+    it = stored_text_items(s, d)
     return find_matches(it.where("id = 11"), it, "found").select("lost_id", "rank", r6("similarity", "similarity"))
 
 
 @query("api6_new_lost_item", f"""{TEXT_SQL} SELECT found_id, CAST(rank AS INT) AS rank, round(c, 6) AS similarity, CAST(category AS VARCHAR) AS found_category, fd AS found_description FROM (
   SELECT found_id, category, fd, c, row_number() OVER (ORDER BY c DESC, found_id) AS rank FROM (SELECT found_id, category, fd, 0.6 * i + 0.4 * t AS c FROM both_scores WHERE lost_id = 10)) WHERE rank <= 5 AND c >= 0.3""")
 def api6_lost(s, d):
-    it = text_items(s, d)
+    it = stored_text_items(s, d)
     return find_matches(it.where("id = 10"), it, "lost").select("found_id", "rank", r6("similarity", "similarity"), "found_category", "found_description")
 
 
@@ -267,7 +272,7 @@ def api8(s, d):
 @query("api3_api4_combined_matches", f"""{TEXT_SQL} SELECT lost_id, found_id, CAST(rank AS INT) AS rank, round(c, 6) AS similarity, round(i, 6) AS image_similarity, round(t, 6) AS text_similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY lost_id ORDER BY c DESC, found_id) AS rank FROM (SELECT *, 0.6 * i + 0.4 * t AS c FROM both_scores)) WHERE rank <= 5 AND c >= 0.3""")
 def api4(s, d):
-    out = Matcher().run(materialize(text_items(s, d).select("id", "category", "status", "image", "text"), "items"))
+    out = Matcher().run(stored_text_items(s, d))
     return out.select("lost_id", "found_id", "rank", *(r6(c, c) for c in ("similarity", "image_similarity", "text_similarity")))
 
 
@@ -275,7 +280,7 @@ def api4(s, d):
   SELECT *, row_number() OVER (PARTITION BY lost_id ORDER BY c DESC, found_id) AS rank FROM (SELECT *, 0.6 * i + 0.4 * t AS c FROM both_scores)) WHERE rank <= 5 AND c >= 0.3""")
 def api3_rank_join(s, d):
     """The same matches from both scores' own lists, which are made longer only where their bound asks for it."""
-    it = materialize(text_items(s, d).select("id", "category", "status", "image", "text"), "items")
+    it = stored_text_items(s, d)
     out = RankJoin({"image": 0.6, "text": 0.4}, 5, 0.3).run(it.where("status = 'lost'"), it.where("status = 'found'"))
     return out.select("lost_id", "found_id", "rank", r6("similarity", "similarity"))
 
@@ -285,7 +290,7 @@ def api3_rank_join(s, d):
     SELECT *, CASE WHEN e = 0 AND t > 0 THEN t WHEN t = 0 AND e > 0 THEN e ELSE 0.5 * e + 0.5 * t END AS c FROM (
       SELECT *, greatest(0, 1 - list_distance([x / sqrt(list_dot_product(li, li)) FOR x IN li], [x / sqrt(list_dot_product(fi, fi)) FOR x IN fi]) / 2) AS e FROM both_scores WHERE fts >= lts))) WHERE rank <= 3 AND c >= 0.5""")
 def api4_slow(s, d):
-    out = Matcher("slow", 0.5, 0.5, 3, 0.5, image_method="normalized_euclidean").run(text_items(s, d))
+    out = Matcher("slow", 0.5, 0.5, 3, 0.5, image_method="normalized_euclidean").run(stored_text_items(s, d))
     return out.select("lost_id", "found_id", "rank", r6("similarity", "similarity"))
 
 
