@@ -105,12 +105,22 @@ def _scored(pairs: DataFrame, items: DataFrame, version: int) -> DataFrame:
     return pairs.join(named("lost"), "lost_id").join(named("found"), "found_id").select("lost_id", "found_id", score(version).alias("similarity"))
 
 
+def _distinct(items: DataFrame) -> DataFrame:
+    """The item of smallest id of each category, status and cleaned description; those without a description never match."""
+    alike = items.where("cleaned IS NOT NULL").groupBy("category", "status", "cleaned")
+    return alike.agg(F.min("id").alias("id"), F.min_by("phrases", "id").alias("phrases"), F.min_by("description", "id").alias("description"))
+
+
 def best_pairs(items: DataFrame, version: int, least: float) -> tuple[DataFrame, DataFrame]:
     """The best pair per lost item of :func:`with_phrases` items, and the pairs whose sequence ratio had to be taken for it.
 
+    Items of one category and cleaned description have the same scores, so the search is over one of each: the smallest found
+    id stands for its likes, as it wins their ties, and a lost item's answer goes to all of its likes.
+
     Filter and verify: bounds come from lengths and character counts. The ratio is taken for each lost item's pair of the
     highest bound, then for those whose bound reaches what that gave. A bound under ``least`` needs none.
     """
+    every, items = items, materialize(_distinct(items), "distinct")
     possible = _pairs(items, version).where((F.col("upper") > 0) & (F.col("upper") >= least))
     highest = possible.groupBy("lost_id").agg(F.max_by("found_id", "upper").alias("found_id"))
     first = materialize(_scored(highest, items, version), "first")
@@ -118,6 +128,9 @@ def best_pairs(items: DataFrame, version: int, least: float) -> tuple[DataFrame,
     others = possible.join(seen, "lost_id").where((F.col("upper") >= F.col("reached")) & (F.col("found_id") != F.col("seen"))).select("lost_id", "found_id")
     verified = first.unionByName(_scored(others, items, version))
     best = rank(verified, 1).where((F.col("similarity") > 0) & (F.col("similarity") >= least))
+    kinds = items.where("status = 'lost'").select(F.col("id").alias("lost_id"), F.col("category").alias("_c"), F.col("cleaned").alias("_t"))
+    alike = every.where("status = 'lost'").select("id", "category", "cleaned").join(best.join(kinds, "lost_id").drop("lost_id"), F.expr("category <=> _c AND cleaned = _t"))
+    best = alike.select(F.col("id").alias("lost_id"), *(c for c in best.columns if c != "lost_id"))
     return best, first.select("lost_id", "found_id").unionByName(others)
 
 
