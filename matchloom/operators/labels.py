@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..cluster import materialize, ship
 from ..functions.text import clean_words, overlap, quality, truncate
+from .allpairs import Distinct, Strips, common, overlaps, rounded
 from .match import candidates, rank
 
 # Phrases of the label heuristic's first version, by kind.
@@ -105,6 +108,45 @@ def _scored(pairs: DataFrame, items: DataFrame, version: int) -> DataFrame:
     return pairs.join(named("lost"), "lost_id").join(named("found"), "found_id").select("lost_id", "found_id", score(version).alias("similarity"))
 
 
+def ratios(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """:func:`sequence_ratio` of each text of ``a`` with each of ``b``; null is the empty text."""
+    out = np.empty((len(a), len(b)))
+    for j, y in enumerate(b):
+        matcher = difflib.SequenceMatcher(None, "", y or "")
+        for i, x in enumerate(a):
+            matcher.set_seq1(x or "")
+            out[i, j] = matcher.ratio()
+    return out
+
+
+def pair_ratios(a: pd.DataFrame, b: pd.DataFrame) -> Strips:
+    """Of (cleaned), for :func:`.allpairs.all_pairs`: the ratio once for different texts of two blocks."""
+    d = Distinct(a, b, "cleaned")
+    s = ratios(d.a["cleaned"], d.b["cleaned"])
+    return lambda i, j: {"ratio": d.strip(s, i, j)}
+
+
+def pair_scores(version: int = 1) -> Callable[[pd.DataFrame, pd.DataFrame], Strips]:
+    """:func:`score`, rounded, of :func:`with_phrases` items, once for different texts of two blocks."""
+
+    def scores(a: pd.DataFrame, b: pd.DataFrame) -> Strips:
+        d = Distinct(a, b, "cleaned")
+        sets = lambda kind: ([p[kind] for p in d.a["phrases"]], [p[kind] for p in d.b["phrases"]])
+        share = lambda kind: overlaps(*sets(kind))
+        any_ = lambda kind, v: np.where(common(*sets(kind))[0] > 0, v, 0.0)
+        text = ratios(d.a["cleaned"], d.b["cleaned"])
+        if version == 1:
+            s = 0.25 * text + 0.25 * share("colors") + 0.25 * any_("brands", 1.0) + 0.10 * share("materials") + 0.10 * share("features") + 0.05 * any_("sizes", 0.5)
+            s = np.minimum(1.0, np.maximum(0.0, s + np.where(text > 0.7, 0.1, 0.0)))
+        else:
+            s = 0.30 * text + 0.25 * share("colors") + 0.25 * any_("brands", 1.0) + 0.10 * share("materials") + 0.10 * share("features")
+        described = d.a["cleaned"].notna().to_numpy()[:, None] & d.b["cleaned"].notna().to_numpy()[None, :]
+        s = rounded(np.where(described, s, 0.0))
+        return lambda i, j: {"score": d.strip(s, i, j)}
+
+    return scores
+
+
 def _distinct(items: DataFrame) -> DataFrame:
     """The item of smallest id of each category, status and cleaned description; those without a description never match."""
     alike = items.where("cleaned IS NOT NULL").groupBy("category", "status", "cleaned")
