@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .allpairs import ranked
 from .blocks import best_k, similarities
 
 
@@ -61,6 +62,8 @@ def top_k(scored: DataFrame, k: int | None = None, default: int = 5, minimum: fl
 
 def image_matches(items: DataFrame, k: int | None = 5, minimum: float | None = None, temporal: bool = False, category: bool = True, last_first: bool = False) -> DataFrame:
     """(lost_id, found_id, similarity, rank) by cosine of the image vectors; every rank if ``k`` is None. Ties as in :func:`.blocks.best_k`."""
+    if k is None and not temporal and not last_first:
+        return ranked(items, minimum, "category" if category else None)
     if k is None:
         pairs = candidates(with_units(items.select("id", "category", "status", "ts", "image")), category, temporal)
         scored = pairs.select("lost_id", "found_id", F.coalesce(V.dot(F.col("lost_image"), F.col("found_image")), F.lit(0.0)).alias("similarity"))
