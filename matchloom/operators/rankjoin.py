@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from ..cluster import materialize
 from ..functions import vectors as V
-from .blocks import best_k, similarities
+from .blocks import BLOCK, best_k, similarities
+
+#: Entries of lists that a block puts out at most, if one row's don't take more.
+ENTRIES = 1 << 18
 
 
 class RankJoin:
@@ -29,7 +32,7 @@ class RankJoin:
             return {column: similarities(a[column], b[column])}
 
         use = ["id", *([self.by] if self.by else []), column]
-        return best_k(lost.select(*use), found.select(*use), score, m, self.by).select("lost_id", "found_id", column, F.lit(column).alias("of"), "rank")
+        return best_k(lost.select(*use), found.select(*use), score, m, self.by, block=max(64, min(BLOCK, ENTRIES // m))).select("lost_id", "found_id", column, F.lit(column).alias("of"), "rank")
 
     def run(self, lost: DataFrame, found: DataFrame) -> DataFrame:
         """(lost_id, found_id, similarity, a similarity per column, rank); ties go to the smaller found id."""
